@@ -31,8 +31,7 @@ def window_membership(
     return rows.withColumn("w", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("_n")
 
 
-def _bounds(values: Column, k: float) -> Column:
-    ordered = F.array_sort(values)
+def _bounds(ordered: Column, k: float) -> Column:
     q1, q3 = array_quantile(ordered, 0.25), array_quantile(ordered, 0.75)
     # rounded so that the last bit of the interpolation cannot decide a comparison
     return F.struct(
@@ -64,17 +63,14 @@ def _null_outliers(rows: DataFrame, k: float, window: int, step: int, tail: bool
     blocks = blocks.select(
         "*",
         F.sum("_size").over(ahead).alias("_width"),
-        (F.sum("_size").over(w.rowsBetween(per_window, per_window)).isNull()).alias("_no_next"),
-        *[F.flatten(F.collect_list("_v_" + c).over(ahead)).alias("_w_" + c) for c in READINGS],
+        *[F.collect_list("_v_" + c).over(ahead).alias("_w_" + c) for c in READINGS],
     )
     full = (F.col("_width") == window) & (F.col("_block") % per_step == 0)
+    place = ["sensor", PART, "_block", "_rows"]
     blocks = blocks.select(
-        "sensor",
-        PART,
-        "_block",
-        "_rows",
-        *[F.when(full, _bounds(F.col("_w_" + c), k)).alias("_b_" + c) for c in READINGS],
+        *place, *[F.when(full, F.sort_array(F.flatten("_w_" + c))).alias("_w_" + c) for c in READINGS]
     )
+    blocks = blocks.select(*place, *[_bounds(F.col("_w_" + c), k).alias("_b_" + c) for c in READINGS])
     over = w.rowsBetween(-(per_window - 1), 0)
     blocks = blocks.select(
         "*",

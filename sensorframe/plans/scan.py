@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from sensorframe.plans.sizing import one_row, store
 
-CHUNK = 131_072
+CHUNK = 16_384
 PART = "_chunk"
 
 

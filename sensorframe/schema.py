@@ -1,27 +1,20 @@
-"""Column layouts of the tables the operators exchange."""
+"""Column layouts (as DDL text) of the tables the operators exchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-READINGS = _struct("sensor string, rn bigint, time timestamp, strain double, temperature double")
-SERIES_FILE = _struct("Time_index string, Time string, Strain string, Temperature string")
-RAW_READINGS = _struct(
+READINGS = ("sensor string, rn bigint, time timestamp, strain double, temperature double")
+SERIES_FILE = ("Time_index string, Time string, Strain string, Temperature string")
+RAW_READINGS = (
     "ts timestamp, loop string, line bigint, span string, beam string, coord double, "
     "strain double, temp double, position string"
 )
-REGIONS = _struct(
+REGIONS = (
     "sensor string, start_rn bigint, end_rn bigint, start_time timestamp, end_time timestamp, length bigint"
 )
-REQUESTS = _struct("start string, end string, loop string, position string, col string")
-SUPPORTS = _struct("beam string, support string, coord double")
-THRESHOLD = _struct("mean_error double, std_error double")
-SNAPSHOTS = _struct("snapshot_date date, pos bigint, cluster int")
+REQUESTS = ("start string, end string, loop string, position string, col string")
+SUPPORTS = ("beam string, support string, coord double")
+THRESHOLD = ("mean_error double, std_error double")
+SNAPSHOTS = ("snapshot_date date, pos bigint, cluster int")
 
 # Metres from the start of the beam to each support.
 SUPPORT_COORDS = {
