@@ -275,11 +275,25 @@ def _(spark, sf):
 
 @query(
     "kalman_filter",
-    None,
+    f"""WITH RECURSIVE {READINGS},
+    seen AS (SELECT sensor, time, strain, row_number() OVER (PARTITION BY sensor ORDER BY rn) - 1 AS rn
+      FROM nonzero WHERE strain IS NOT NULL),
+    gains AS (
+      SELECT 0 AS t, (1.0 + 0.01)::DOUBLE / (1.0 + 0.01 + 10.0) AS g,
+             (1 - (1.0 + 0.01)::DOUBLE / (1.0 + 0.01 + 10.0)) * (1.0 + 0.01) AS p
+      UNION ALL
+      SELECT t + 1, (p + 0.01) / (p + 0.01 + 10.0), (1 - (p + 0.01) / (p + 0.01 + 10.0)) * (p + 0.01)
+      FROM gains WHERE t < (SELECT max(rn) FROM seen)),
+    walk AS (
+      SELECT sensor, rn, time, g * strain AS x FROM seen JOIN gains ON t = 0 WHERE rn = 0
+      UNION ALL
+      SELECT s.sensor, s.rn, s.time, w.x + g * (s.strain - w.x)
+      FROM walk w JOIN seen s ON s.sensor = w.sensor AND s.rn = w.rn + 1 JOIN gains ON t = s.rn)
+    SELECT sensor, rn, time, round(x + 1e-8, 5) AS state FROM walk""",
 )
 def _(spark, sf):
     out = rolling.kalman_filter(filters.zero_to_null(readings(spark, sf)), 1.0, 1.0, 1e-2, 10.0, 0.0, 1.0)
-    return out.select("sensor", "rn", "time", r6(F.col("state")[0]).alias("state"))
+    return out.select("sensor", "rn", "time", F.round(F.col("state")[0] + 1e-8, 5).alias("state"))
 
 
 @query(

@@ -324,8 +324,8 @@ def _(spark, sf):
     f"""WITH {DISTRIBUTIONS},
     pts AS (SELECT vec_id, chr(66 + label % 5) AS beam, coord, strain FROM cells),
     sup AS (SELECT * FROM (VALUES {", ".join(f"('{b}', '{s}', {c}::DOUBLE)" for b, m in schema.SUPPORT_COORDS.items() for s, c in m.items())})
-            v(beam, support, at)),
-    near AS (SELECT s.beam, support, first(coord ORDER BY abs(coord - at), coord) AS coord
+            v(beam, support, at_m)),
+    near AS (SELECT s.beam, support, first(coord ORDER BY abs(coord - at_m), coord) AS coord
       FROM sup s JOIN (SELECT DISTINCT beam, coord FROM pts) p ON p.beam = s.beam GROUP BY 1, 2),
     named AS (SELECT beam, coord, string_agg(support, ',' ORDER BY support) AS support FROM near GROUP BY 1, 2)
     SELECT vec_id, p.beam, p.coord, round(strain, 6) + 0.0 AS strain, support
