@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import duration_text
 from sensorframe.plans.scan import CHUNK, first_of, last_of, mark_runs, runs, settle, spread, within
-from sensorframe.plans.sizing import attach, one_row
+from sensorframe.plans.sizing import Sized, attach
 
 KEYS = ["sensor"]
 
@@ -29,8 +29,10 @@ def minmax_scale(
     train: DataFrame, test: DataFrame, features: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Scale each (sensor, feature) to the range it has in ``train``; a constant gives ``x - min``."""
-    ranges = train.groupBy("sensor").agg(
-        *[F.min(f).alias("_lo_" + f) for f in features], *[F.max(f).alias("_hi_" + f) for f in features]
+    ranges = Sized(
+        train.groupBy("sensor").agg(
+            *[F.min(f).alias("_lo_" + f) for f in features], *[F.max(f).alias("_hi_" + f) for f in features]
+        )
     )
 
     def scaled(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from sensorframe.plans.scan import (
     spread,
     within,
 )
-from sensorframe.plans.sizing import attach
+from sensorframe.plans.sizing import attach, store
 
 KEYS = ["sensor"]
 
@@ -67,19 +67,21 @@ def overlapping_regions(regions: DataFrame, min_span: int = 100, size: int = CHU
     count reaches the number of sensors exactly on the common intervals.
     """
     steps = regions.select(
+        "sensor",
         F.explode(
             F.array(
                 F.struct(F.col("start_rn").alias("pos"), F.lit(1).alias("d")),
                 F.struct((F.col("end_rn") + 1).alias("pos"), F.lit(-1).alias("d")),
             )
-        ).alias("e")
-    ).select("e.*")
+        ).alias("e"),
+    ).select("sensor", "e.*")
+    steps = store(steps)  # read several times below
+    sensors = steps.agg(F.count_distinct("sensor").alias("n")).scalar()
     borders = steps.groupBy("pos").agg(F.sum("d").alias("d")).withColumn("_slot", chunk_of("pos", size))
     depth = running_sum(borders, [], "pos", "_slot", "d", "depth")
     ordered = number_rows(depth, [], ["pos"], "_slot", "i")
     nxt = spread(ordered, [], 0, 1, index="i", size=size)
     nxt = settle(nxt.withColumn("_next", F.lead("pos").over(within([], "i"))), "i", size)
-    sensors = regions.agg(F.count_distinct("sensor").alias("n")).scalar()
     return (
         nxt.filter(F.col("depth") == sensors)
         .select(F.col("pos").alias("start_rn"), (F.col("_next") - 1).alias("end_rn"))
@@ -114,7 +116,12 @@ def region_shifts(
     Neighbouring runs carry the same accumulated shift when they are compared, so it
     cancels out: each jump follows from the raw data and the shift is a running sum.
     """
-    marked = mark_runs(df, KEYS, F.col("strain").isNotNull(), size=size)
+    return _shifts_of(mark_runs(df, KEYS, F.col("strain").isNotNull(), size=size), k, n_prev, n_curr, min_region, size)
+
+
+def _shifts_of(
+    marked: DataFrame, k: float, n_prev: int, n_curr: int, min_region: int, size: int
+) -> DataFrame:
     head = F.col("rn") < F.col("run_start") + n_curr
     tail = F.col("rn") > F.col("run_end") - n_prev
     stats = (
@@ -127,7 +134,7 @@ def region_shifts(
         )
         .withColumn("_slot", chunk_of("run_start", size))
     )
-    ordered = number_rows(stats, KEYS, ["run_start"], "_slot", "i")
+    ordered = number_rows(store(stats), KEYS, ["run_start"], "_slot", "i")
     rows = spread(ordered, KEYS, 2, 0, index="i", size=size)
     w = within(KEYS, "i")
     before = F.lag(F.struct("run_start", "run_end", "tail", "noise"), 1).over(w)
@@ -137,7 +144,7 @@ def region_shifts(
     tail_mean = F.col("_b.tail")
     jump = (F.col("head") < tail_mean - k * noise) | (F.col("head") > tail_mean + k * noise)
     rows = settle(rows.withColumn("delta", F.when(jump, tail_mean - F.col("head")).otherwise(0.0)), "i", size)
-    shifted = running_sum(rows, KEYS, "i", "_slot", "delta", "shift")
+    shifted = running_sum(store(rows), KEYS, "i", "_slot", "delta", "shift")
     return shifted.select("sensor", "run_start", "run_end", "delta", "shift")
 
 
@@ -156,7 +163,9 @@ def rebaseline_regions(
     than ``min_region``, the deviation of the run before it is used; a single point has
     no deviation and causes no shift.  Shifts add up along the series.
     """
-    shifts = region_shifts(df, k, n_prev, n_curr, min_region, size)
+    # stored, because the shifts are learnt from the marked rows and then applied to them
+    marked = store(mark_runs(df, KEYS, F.col("strain").isNotNull(), size=size))
+    shifts = _shifts_of(marked, k, n_prev, n_curr, min_region, size)
     # one row per chunk a run lies in, so that a long run is joined in pieces
     pieces = shifts.select(
         "sensor",
@@ -164,7 +173,6 @@ def rebaseline_regions(
         "shift",
         F.explode(F.sequence(chunk_of("run_start", size), chunk_of("run_end", size))).alias(PART),
     )
-    marked = mark_runs(df, KEYS, F.col("strain").isNotNull(), size=size)
     moved = marked.join(pieces, ["sensor", PART, "run_start"], "left")
     return moved.withColumn("strain", F.col("strain") + F.coalesce("shift", F.lit(0.0))).select(*df.columns)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from sensorframe.plans.sizing import one_row, store
+from sensorframe.plans.sizing import store
 
 CHUNK = 16_384
 PART = "_chunk"
@@ -116,25 +116,26 @@ def number_by_time(
 ) -> DataFrame:
     """Position of every reading in its sensor's history (ties broken by ``ties``).
 
-    Buckets are time slices sized so that evenly spaced data gives at most
-    ``rows_per_bucket`` rows each, whichever sensor they belong to.  If the fullest
-    bucket is far above that (bursts), the rows are range-sorted and stored instead,
-    which balances any distribution.
+    A table of few rows needs no buckets.  Otherwise buckets are time slices sized so
+    that evenly spaced data gives at most ``rows_per_bucket`` rows each, whichever sensor
+    they belong to.  If the fullest bucket is far above that (bursts), the rows are
+    range-sorted and stored instead, which balances any distribution.
     """
+    few = 8 * rows_per_bucket
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    extent = one_row(
-        df, F.count(F.lit(1)).alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi")
-    )
-    width = F.greatest(
-        F.ceil((extent["hi"] - extent["lo"] + 1) * (rows_per_bucket / F.greatest(extent["n"], F.lit(1)))),
-        F.lit(1).cast("long"),
-    )
-    slot = F.coalesce(F.floor((micros - extent["lo"]) / width).cast("long"), F.lit(-1).cast("long"))
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(micros), F.max(micros)).first()
+    if n <= few:
+        w = Window.partitionBy(sensor).orderBy(time, *ties)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+    if lo is None:
+        return number_by_sort(df, [sensor], [time, *ties], out, rows_per_bucket)
+    width = max(1, -(-(hi - lo + 1) * rows_per_bucket // n))
+    slot = F.coalesce(F.floor((micros - lo) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
     bucketed = df.withColumn("_slot", slot)
-    fullest = bucketed.groupBy(sensor, "_slot").count().agg(F.max("count")).first()[0] or 0
-    if fullest <= 8 * rows_per_bucket:
-        return number_rows(bucketed, [sensor], [time, *ties], "_slot", out).drop("_slot")
-    return number_by_sort(df, [sensor], [time, *ties], out, rows_per_bucket)
+    fullest = bucketed.groupBy(sensor, "_slot").count().agg(F.max("count")).first()[0]
+    if fullest > few:
+        return number_by_sort(df, [sensor], [time, *ties], out, rows_per_bucket)
+    return number_rows(bucketed, [sensor], [time, *ties], "_slot", out).drop("_slot")
 
 
 def number_by_sort(

@@ -23,9 +23,17 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Sized:
+    """A stored table and its number of rows."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.table = store(df)
+        self.rows = self.table.count()
+
+
 def attach(
     df: DataFrame,
-    side: DataFrame,
+    side: DataFrame | Sized,
     keys: Sequence[str],
     how: str = "left",
     limit: int = BROADCAST_ROWS,
@@ -35,10 +43,12 @@ def attach(
     ``side`` (one row per key) is computed once and stored, then counted: up to
     ``limit`` rows it is broadcast, so a key that holds most of ``df`` costs no
     shuffle.  A larger one means many keys; both sides are then joined on the key
-    plus a salt, so that a hot key still spreads over several tasks.
+    plus a salt, so that a hot key still spreads over several tasks.  A :class:`Sized`
+    side is not computed again.
     """
-    side = store(side)
-    if side.count() <= limit:
+    side = side if isinstance(side, Sized) else Sized(side)
+    side, rows = side.table, side.rows
+    if rows <= limit:
         return df.join(F.broadcast(side), list(keys), how)
     salts = 16
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
