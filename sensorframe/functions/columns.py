@@ -82,10 +82,19 @@ def array_mean(a: Column) -> Column:
 
 
 def array_std(a: Column) -> Column:
-    """Sample standard deviation."""
-    m = array_mean(a)
-    squares = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
-    return F.sqrt(squares / F.nullif(F.size(a) - 1, F.lit(0)))
+    """Sample standard deviation, from sums taken relative to the first element."""
+    n, origin = F.size(a), F.get(a, F.lit(0))
+    sums = F.aggregate(
+        a,
+        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        lambda acc, x: F.struct(
+            (acc["s"] + x - origin).alias("s"), (acc["q"] + (x - origin) * (x - origin)).alias("q")
+        ),
+        lambda acc: F.sqrt(
+            F.greatest(acc["q"] - acc["s"] * acc["s"] / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))
+        ),
+    )
+    return sums
 
 
 def grid_floor(c: Column, step_hours: int = 4) -> Column:

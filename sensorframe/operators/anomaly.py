@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import duration_text
 from sensorframe.plans.scan import CHUNK, first_of, last_of, mark_runs, runs, settle, spread, within
-from sensorframe.plans.sizing import Sized, attach
+from sensorframe.plans.sizing import Sized, attach, store
 
 KEYS = ["sensor"]
 
@@ -187,12 +187,13 @@ def anomaly_table(points: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def pca_reconstruction(train: DataFrame, test: DataFrame, col: str, k: int) -> DataFrame:
     """Restore the vector column ``col`` of ``test`` from the ``k`` main directions of ``train``."""
-    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-    centre = StandardScaler(inputCol=col, outputCol="_c", withMean=True, withStd=False).fit(train)
-    model = PCA(k=k, inputCol="_c", outputCol="_s").fit(centre.transform(train))
-    mean, basis = centre.mean.toArray(), model.pc.toArray()  # k columns: bounded by the feature count
+    vectors = store(train.select(col))
+    basis = PCA(k=k, inputCol=col, outputCol="_s").fit(vectors).pc.toArray()
+    mean = vectors.agg(Summarizer.mean(F.col(col)).alias("m")).first()["m"].toArray()
     project = basis @ basis.T
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -123,21 +123,19 @@ def clean_zeros_outliers(
 def _fill_gaps(rows: DataFrame, max_len: int) -> DataFrame:
     """Interpolate strain gaps of already chunked rows.
 
-    The rows beside a fillable gap are at most ``max_len + 1`` away, and a frame that
-    holds fewer rows than that has met the start or the end of the series.
+    The rows beside a fillable gap are at most ``max_len + 1`` away.  The halo is at least
+    that wide, so a row that is closer than that to the first or last row of its chunk
+    has met the start or end of the series.
     """
     reach = max_len + 1
-    w = within(KEYS)
-    back, ahead = w.rowsBetween(-reach, -1), w.rowsBetween(1, reach)
-    present = F.when(
-        F.col("strain").isNotNull(), F.struct("rn", "strain", "temperature")
+    so_far = within(KEYS).rowsBetween(Window.unboundedPreceding, 0)
+    to_come = Window.partitionBy(*KEYS, PART).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
+    present = F.when(F.col("strain").isNotNull(), F.struct("rn", "strain", "temperature"))
+    rows = rows.select(
+        "*", F.last(present, ignorenulls=True).over(so_far).alias("_p"), F.first("rn").over(so_far).alias("_first")
     )
     rows = rows.select(
-        "*",
-        F.last(present, ignorenulls=True).over(back).alias("_p"),
-        F.first(present, ignorenulls=True).over(ahead).alias("_q"),
-        F.min("rn").over(w.rowsBetween(-reach, 0)).alias("_first"),
-        F.max("rn").over(w.rowsBetween(0, reach)).alias("_last"),
+        "*", F.last(present, ignorenulls=True).over(to_come).alias("_q"), F.first("rn").over(to_come).alias("_last")
     )
     p, q, rn = F.col("_p"), F.col("_q"), F.col("rn")
     at_start = p.isNull() & (rn - F.col("_first") < reach)

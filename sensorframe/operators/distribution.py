@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import array_mean, array_std
@@ -79,21 +80,18 @@ def outlier_union(df: DataFrame, threshold: float = 7, individual: float = 7, ke
     return flags.filter(F.col("by_mean") | F.col("by_row") | F.col("by_value")).select(key).distinct()
 
 
-def _centred(df: DataFrame, profile: str):
-    from pyspark.ml.feature import StandardScaler
+def _directions(df: DataFrame, k: int, profile: str):
+    """Principal directions; the fit centres the data itself, in one pass over its covariances."""
+    from pyspark.ml.feature import PCA
 
     vectors = df.withColumn("_raw", array_to_vector(profile))
-    centre = StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False).fit(vectors)
-    return centre.transform(vectors).drop("_raw")
+    return PCA(k=k, inputCol="_raw", outputCol="_pc").fit(vectors.select("_raw")), vectors
 
 
 def explained_variance(df: DataFrame, k: int = 10, profile: str = "profile") -> DataFrame:
     """Share of variance per principal direction in percent (1 decimal), and its running total."""
-    from pyspark.ml.feature import PCA
-
-    vectors = _centred(df, profile)
-    ratio = PCA(k=k, inputCol="_centred", outputCol="_pc").fit(vectors).explainedVariance.toArray()
-    percent = np.round(ratio * 100, 1)
+    model, _ = _directions(df, k, profile)
+    percent = np.round(model.explainedVariance.toArray() * 100, 1)
     rows = [(i + 1, float(p), float(c)) for i, (p, c) in enumerate(zip(percent, percent.cumsum()))]
     return df.sparkSession.createDataFrame(rows, "component int, percent double, cumulative double")
 
@@ -103,24 +101,20 @@ def pca_scores(df: DataFrame, k: int = 8, profile: str = "profile", out: str = "
 
     The largest loading of every direction is made positive.  The result column is an array.
     """
-    from pyspark.ml.feature import PCA
-
-    vectors = _centred(df, profile)
-    model = PCA(k=k, inputCol="_centred", outputCol="_pc").fit(vectors)
+    model, vectors = _directions(df, k, profile)
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
+    # the model does not centre what it transforms; the scaling below does
+    moments = model.transform(vectors.select("_raw")).agg(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("_pc")).alias("m")
+    ).first()["m"]
+    n = moments["count"]
+    deviation = np.sqrt(moments["variance"].toArray() * (n - 1) / n) if n > 1 else np.zeros(k)
+    factor = signs / np.where(deviation > 0, deviation, 1.0)
+    centre, factor = (F.array(*[F.lit(float(x)) for x in v]) for v in (moments["mean"].toArray(), factor))
     scored = model.transform(vectors).withColumn("_pc", vector_to_array("_pc"))
-    n = [F.stddev_pop(F.col("_pc")[i]) for i in range(k)]
-    m = [F.avg(F.col("_pc")[i]) for i in range(k)]
-    size = one_row(scored, F.array(*m).alias("m"), F.array(*n).alias("s"))
-    lit_signs = [float(s) or 1.0 for s in signs]
-    values = F.array(
-        *[
-            (F.col("_pc")[i] - size["m"][i]) / F.coalesce(F.nullif(size["s"][i], F.lit(0.0)), F.lit(1.0)) * lit_signs[i]
-            for i in range(k)
-        ]
-    )
-    return scored.select(*df.columns, values.alias(out))
+    shifted = F.zip_with("_pc", centre, lambda x, m: x - m)
+    return scored.select(*df.columns, F.zip_with(shifted, factor, lambda x, f: x * f).alias(out))
 
 
 def cluster_profiles(
