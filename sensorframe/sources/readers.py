@@ -11,12 +11,17 @@ from sensorframe.functions.columns import finite, is_digits, parse_stamp, part,
 from sensorframe.plans.scan import number_by_time
 
 
+def _plain(c: Column) -> Column:
+    """Undo the URL form in which Spark reports paths (a plus sign is itself there)."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def _folder_stamp() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return F.regexp_extract(_plain(F.col("_metadata.file_path")), r"([^/]+)/[^/]+$", 1)
 
 
 def _file_name() -> Column:
-    return F.col("_metadata.file_name")
+    return _plain(F.col("_metadata.file_name"))
 
 
 def _number(c: Column) -> Column:
