@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from sensorframe.functions.columns import r6
-from sensorframe.operators import cluster, distribution, explore, filters, joins, mixture, rolling, sankey
+from sensorframe.operators import cluster, density, distribution, explore, filters, joins, mixture, rolling, sankey
 from sensorframe.plans.scan import number_by_time
 from sensorframe.queries import views
 from sensorframe.queries.registry import query
@@ -266,6 +266,31 @@ def _(spark, sf):
     return cluster.cluster_sweep(_scores(spark, sf, 4).select("vec_id", "scores"), 3)
 
 
+_EPS, _LEAST = 0.08, 6
+
+
+@query(
+    "dbscan",
+    f"""WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+    near AS (SELECT a.vec_id AS a, b.vec_id AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b
+      ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {_EPS}::DOUBLE * {_EPS}::DOUBLE),
+    core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {_LEAST}),
+    walk AS (SELECT id, id AS root FROM core
+      UNION SELECT n.b, w.root FROM walk w JOIN near n ON n.a = w.id JOIN core c ON c.id = n.b),
+    comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
+    border AS (SELECT a AS id, first(root ORDER BY d, b) AS root FROM near JOIN comp ON comp.id = b
+      WHERE a NOT IN (SELECT id FROM core) GROUP BY a),
+    named AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+    ids AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster
+            FROM (SELECT root, min(id) AS m FROM comp GROUP BY root))
+    SELECT p.vec_id, CAST(coalesce(cluster, -1) AS INT) AS cluster FROM p LEFT JOIN named n ON n.id = p.vec_id
+    LEFT JOIN ids USING (root)""",
+)
+def _(spark, sf):
+    points = distributions(spark, sf).select("vec_id", F.slice("profile", 1, 2).alias("scores"))
+    return density.dbscan(points, _EPS, _LEAST).select("vec_id", "cluster")
+
+
 @query("dpgmm_clusters")
 def _(spark, sf):
     out = mixture.dpgmm_clusters(_scores(spark, sf, 4), max_components=8, max_iter=25)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorframe.operators import anomaly, cluster, distribution, mixture
+from sensorframe.operators import anomaly, cluster, density, distribution, mixture
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,38 @@ def test_reconstruction_is_exact_with_all_directions(spark):
     part = anomaly.reconstruction_error(train, test, ["strain", "temperature"], 1)
     assert whole.count() == part.count() == 48
     assert whole.agg(F.max("error")).first()[0] < 1e-9 < part.agg(F.max("error")).first()[0]
+
+
+def brute_dbscan(x, eps, least):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = d <= eps
+    core = near.sum(1) >= least
+    label = np.full(len(x), -1)
+    for i in np.where(core)[0]:
+        if label[i] < 0:
+            stack = [i]
+            label[i] = label.max() + 1
+            while stack:
+                j = stack.pop()
+                for k in np.where(near[j] & core & (label < 0))[0]:
+                    label[k] = label[i]
+                    stack.append(k)
+    for i in np.where(~core & (near & core).any(1))[0]:
+        hosts = np.where(near[i] & core)[0]
+        label[i] = label[hosts[np.lexsort((hosts, d[i][hosts]))[0]]]
+    return label
+
+
+@pytest.mark.parametrize("eps,least,dims", [(0.25, 4, 2), (0.6, 8, 3)])
+def test_dbscan_against_all_pairs(spark, eps, least, dims):
+    rng = np.random.default_rng(5)
+    centres = rng.uniform(0, 4, size=(5, dims))
+    x = np.concatenate([rng.normal(c, 0.15, size=(40, dims)) for c in centres] + [rng.uniform(0, 4, (40, dims))])
+    x = np.concatenate([x, np.repeat(x[:1], 60, axis=0)])  # one place with many copies
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, scores array<double>")
+    got = density.dbscan(df, eps, least).toPandas().sort_values("vec_id")["cluster"].to_numpy()
+    want = brute_dbscan(x, eps, least)
+    assert want.max() > 1 and (want == -1).any()
+    assert got.tolist() == want.tolist()
+    with pytest.raises(ValueError):
+        density.dbscan(df.withColumn("scores", F.array_repeat(F.lit(0.0), 9)), eps, least)
