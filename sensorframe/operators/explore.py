@@ -6,11 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from sensorframe.functions.columns import strip_blanks
 from sensorframe.functions.quantiles import exact_quantiles
-from sensorframe.plans.sizing import attach
+from sensorframe.plans.sizing import Sized, attach
 
 STEP = "4 hours"
 
@@ -106,52 +105,46 @@ def pairwise_correlation(df: DataFrame, by: str = "time", col: str = "strain") -
     """
     present = df.filter(F.col(col).isNotNull())
     means = present.groupBy("sensor").agg(F.avg(col).alias("_m"))
-    centred = attach(present, means, ["sensor"]).withColumn("_v", F.col(col) - F.col("_m"))
-    moments = centred.groupBy(by).agg(F.collect_list(F.struct("sensor", "_v")).alias("_row")).select("_row")
+    # as many names as the result has rows and columns
+    means = Sized(means.withColumn("_i", (F.row_number().over(Window.orderBy("sensor")) - 1).cast("int")))
+    k = means.rows
+    centred = attach(present, means, ["sensor"], "inner")
+    moments = centred.groupBy(by).agg(
+        F.collect_list(F.struct("_i", (F.col(col) - F.col("_m")).alias("v"))).alias("_row")
+    ).select(F.transform("_row", lambda c: c["_i"]).alias("_i"), F.transform("_row", lambda c: c["v"]).alias("_v"))
+    block = max(1, 4_000_000 // max(k, 1))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names: list[str] = []
-        seen: dict[str, int] = {}
-        total = np.zeros((6, 0, 0))
+        total = np.zeros((6, k, k))
         for pdf in batches:
-            for row in pdf["_row"]:
-                for cell in row:
-                    if cell["sensor"] not in seen:
-                        seen[cell["sensor"]] = len(names)
-                        names.append(cell["sensor"])
-            n = len(names)
-            if n > total.shape[1]:
-                grown = np.zeros((6, n, n))
-                grown[:, : total.shape[1], : total.shape[2]] = total
-                total = grown
-            x = np.zeros((len(pdf), n))
-            m = np.zeros((len(pdf), n))
-            for i, row in enumerate(pdf["_row"]):
-                for cell in row:
-                    j = seen[cell["sensor"]]
-                    x[i, j], m[i, j] = cell["_v"], 1.0
-            # count, sum a, sum b, sum aa, sum bb, sum ab over moments with both present
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if names[i] <= names[j]]
-        if pairs:
-            i, j = np.array(pairs).T
-            out = pd.DataFrame({"a": [names[k] for k in i], "b": [names[k] for k in j]})
-            for k, c in enumerate(("n", "sa", "sb", "saa", "sbb", "sab")):
-                out[c] = total[k, i, j]
-            yield out
+            for begin in range(0, len(pdf), block):
+                part = pdf.iloc[begin : begin + block]
+                at = np.repeat(np.arange(len(part)), part["_i"].map(len).to_numpy())
+                of = np.concatenate(part["_i"].to_numpy())
+                x, m = np.zeros((len(part), k)), np.zeros((len(part), k))
+                x[at, of], m[at, of] = np.concatenate(part["_v"].to_numpy()), 1.0
+                # count, sum a, sum b, sum aa, sum bb, sum ab over moments with both present
+                total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.nonzero(np.triu(total[0]))
+        out = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32")})
+        for position, c in enumerate(("n", "sa", "sb", "saa", "sbb", "sab")):
+            out[c] = total[position, i, j]
+        yield out
 
     parts = moments.mapInPandas(
-        sums, "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
+        sums, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
     )
-    s = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     n = F.col("n")
     spread_a = n * F.col("saa") - F.col("sa") * F.col("sa")
     spread_b = n * F.col("sbb") - F.col("sb") * F.col("sb")
     shared = n * F.col("sab") - F.col("sa") * F.col("sb")
     corr = F.when((spread_a > 0) & (spread_b > 0), shared / (F.sqrt(spread_a) * F.sqrt(spread_b)))
-    return s.select(
-        F.col("a").alias("sensor_a"), F.col("b").alias("sensor_b"), n.cast("long").alias("n"), corr.alias("corr")
-    )
+    names = means.table.select("_i", "sensor")
+    s = s.select("i", "j", n.cast("long").alias("n"), corr.alias("corr"))
+    s = s.join(names.select(F.col("_i").alias("i"), F.col("sensor").alias("sensor_a")), "i")
+    s = s.join(names.select(F.col("_i").alias("j"), F.col("sensor").alias("sensor_b")), "j")
+    return s.select("sensor_a", "sensor_b", "n", "corr")
 
 
 def availability_matrix(listing: DataFrame, start, stop, step: str = STEP) -> DataFrame:

@@ -20,8 +20,9 @@ PART = "_chunk"
 
 
 def chunk_of(index: str | Column, size: int = CHUNK) -> Column:
+    """Integer quotient; never decreases along ``index``."""
     index = F.col(index) if isinstance(index, str) else index
-    return F.floor(index / F.lit(size)).cast("long")
+    return F.call_function("div", index, F.lit(size))
 
 
 def within(keys: Sequence[str], index: str = "rn") -> WindowSpec:
