@@ -114,14 +114,21 @@ def sequence_timestamps(df: DataFrame, length: int, label: str = "start", size:
 
 
 def sequence_overlap(train: DataFrame, test: DataFrame, col: str = "sequence") -> DataFrame:
-    """Distinct sequences present in both frames, compared as 32-bit floats."""
+    """Distinct sequences present in both frames, compared as 32-bit floats.
 
-    def distinct(df: DataFrame) -> DataFrame:
+    Hashes are compared first, so that only sequences whose hash is in both frames are
+    shuffled and compared by value.
+    """
+    fields = [f.name for f in train.schema[col].dataType.elementType.fields]
+
+    def hashed(df: DataFrame) -> DataFrame:
         flat = F.flatten(F.transform(col, lambda s: F.array(*[s[f] for f in fields]))).cast("array<float>")
-        return df.select(flat.alias("values")).select(F.xxhash64("values").alias("_h"), "values").distinct()
+        return df.select(flat.alias("values")).withColumn("_h", F.xxhash64("values"))
 
-    fields = [f.name for f in train.schema[col].dataType.elementType.fields]
-    return distinct(train).join(distinct(test), ["_h", "values"], "left_semi").drop("_h")
+    a, b = hashed(train), hashed(test)
+    shared = Sized(a.select("_h").distinct().join(b.select("_h").distinct(), "_h", "left_semi"))
+    a, b = (attach(x, shared, ["_h"], "inner").distinct() for x in (a, b))
+    return a.join(b, ["_h", "values"], "left_semi").select("values")
 
 
 def score_table(actual: DataFrame, reconstructed: DataFrame, keys: Sequence[str] = ("sensor", "rn")) -> DataFrame:

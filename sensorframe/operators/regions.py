@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from sensorframe.plans.scan import (
     CHUNK,
@@ -18,9 +18,10 @@ from sensorframe.plans.scan import (
     spread,
     within,
 )
-from sensorframe.plans.sizing import attach, store
+from sensorframe.plans.sizing import Sized, attach, store
 
 KEYS = ["sensor"]
+FEW_CHUNKS = 8  # tables of at most this many chunks of rows are ordered in one window
 
 
 def _regions(df: DataFrame, missing: bool, min_len: int, size: int) -> DataFrame:
@@ -75,13 +76,22 @@ def overlapping_regions(regions: DataFrame, min_span: int = 100, size: int = CHU
             )
         ).alias("e"),
     ).select("sensor", "e.*")
-    steps = store(steps)  # read several times below
-    sensors = steps.agg(F.count_distinct("sensor").alias("n")).scalar()
-    borders = steps.groupBy("pos").agg(F.sum("d").alias("d")).withColumn("_slot", chunk_of("pos", size))
-    depth = running_sum(borders, [], "pos", "_slot", "d", "depth")
-    ordered = number_rows(depth, [], ["pos"], "_slot", "i")
-    nxt = spread(ordered, [], 0, 1, index="i", size=size)
-    nxt = settle(nxt.withColumn("_next", F.lead("pos").over(within([], "i"))), "i", size)
+    steps = Sized(steps)
+    sensors = steps.table.agg(F.count_distinct("sensor").alias("n")).scalar()
+    borders = steps.table.groupBy("pos").agg(F.sum("d").alias("d"))
+    if steps.rows <= FEW_CHUNKS * size:
+        w = Window.orderBy("pos")
+        nxt = borders.select(
+            "pos",
+            F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
+            F.lead("pos").over(w).alias("_next"),
+        )
+    else:
+        borders = borders.withColumn("_slot", chunk_of("pos", size))
+        depth = running_sum(borders, [], "pos", "_slot", "d", "depth")
+        ordered = number_rows(depth, [], ["pos"], "_slot", "i")
+        nxt = spread(ordered, [], 0, 1, index="i", size=size)
+        nxt = settle(nxt.withColumn("_next", F.lead("pos").over(within([], "i"))), "i", size)
     return (
         nxt.filter(F.col("depth") == sensors)
         .select(F.col("pos").alias("start_rn"), (F.col("_next") - 1).alias("end_rn"))
@@ -134,17 +144,25 @@ def _shifts_of(
         )
         .withColumn("_slot", chunk_of("run_start", size))
     )
-    ordered = number_rows(store(stats), KEYS, ["run_start"], "_slot", "i")
-    rows = spread(ordered, KEYS, 2, 0, index="i", size=size)
-    w = within(KEYS, "i")
-    before = F.lag(F.struct("run_start", "run_end", "tail", "noise"), 1).over(w)
-    rows = rows.withColumn("_b", before).withColumn("_noise2", F.lag("noise", 2).over(w))
-    short = (F.col("_b.run_end") - F.col("_b.run_start") + 1 < min_region) & (F.col("i") > 1)
-    noise = F.when(short, F.col("_noise2")).otherwise(F.col("_b.noise"))
-    tail_mean = F.col("_b.tail")
-    jump = (F.col("head") < tail_mean - k * noise) | (F.col("head") > tail_mean + k * noise)
-    rows = settle(rows.withColumn("delta", F.when(jump, tail_mean - F.col("head")).otherwise(0.0)), "i", size)
-    shifted = running_sum(store(rows), KEYS, "i", "_slot", "delta", "shift")
+    stats = Sized(stats)
+
+    def with_delta(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        before = F.lag(F.struct("run_start", "run_end", "tail", "noise"), 1).over(w)
+        rows = rows.withColumn("_b", before).withColumn("_noise2", F.lag("noise", 2).over(w))
+        short = (F.col("_b.run_end") - F.col("_b.run_start") + 1 < min_region) & (F.col("i") > 1)
+        noise = F.when(short, F.col("_noise2")).otherwise(F.col("_b.noise"))
+        mean, head = F.col("_b.tail"), F.col("head")
+        jump = (head < mean - k * noise) | (head > mean + k * noise)
+        return rows.withColumn("delta", F.when(jump, mean - head).otherwise(0.0))
+
+    if stats.rows <= FEW_CHUNKS * size:
+        w = Window.partitionBy(*KEYS).orderBy("run_start")
+        rows = with_delta(stats.table.withColumn("i", F.row_number().over(w) - 1), w)
+        shifted = rows.withColumn("shift", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ordered = number_rows(stats.table, KEYS, ["run_start"], "_slot", "i")
+        rows = with_delta(spread(ordered, KEYS, 2, 0, index="i", size=size), within(KEYS, "i"))
+        shifted = running_sum(store(settle(rows, "i", size)), KEYS, "i", "_slot", "delta", "shift")
     return shifted.select("sensor", "run_start", "run_end", "delta", "shift")
 
 

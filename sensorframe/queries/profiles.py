@@ -202,60 +202,89 @@ def _(spark, sf):
     )
 
 
-@query(
-    "gaussian_divergence",
-    f"""WITH {_PLANE}, c AS (SELECT *, xx * yy - xy * xy AS det FROM moments),
-    p AS (SELECT p.cluster AS a, q.cluster AS b,
+_DIVERGE = f"""{_PLANE}, c AS (SELECT *, xx * yy - xy * xy AS det FROM moments),
+    kls AS (SELECT p.cluster AS a, q.cluster AS b,
       0.5 * ((q.yy * p.xx - 2 * q.xy * p.xy + q.xx * p.yy) / q.det
         + (q.yy * (q.mx - p.mx) ** 2 - 2 * q.xy * (q.mx - p.mx) * (q.my - p.my) + q.xx * (q.my - p.my) ** 2) / q.det
-        - 2 + ln(q.det / p.det)) AS kl FROM c p JOIN c q ON p.cluster <> q.cluster)
-    SELECT CAST(f.a AS BIGINT) AS a, CAST(f.b AS BIGINT) AS b, round(f.kl, 6) AS kl_ab, round(r.kl, 6) AS kl_ba,
-      round(0.5 * (f.kl + r.kl), 6) AS jeffreys FROM p f JOIN p r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b""",
+        - 2 + ln(q.det / p.det)) AS kl FROM c p JOIN c q ON p.cluster <> q.cluster),
+    pairs AS (SELECT f.a, f.b, 0.5 * (f.kl + r.kl) AS j FROM kls f JOIN kls r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b)"""
+
+
+@query(
+    "gaussian_divergence",
+    f"""WITH {_DIVERGE} SELECT CAST(f.a AS BIGINT) AS a, CAST(f.b AS BIGINT) AS b, round(f.kl, 6) AS kl_ab,
+    round(r.kl, 6) AS kl_ba, round(0.5 * (f.kl + r.kl), 6) AS jeffreys
+    FROM kls f JOIN kls r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b""",
 )
 def _(spark, sf):
     out = cluster.gaussian_divergence(cluster.component_moments(_plane(spark, sf)))
     return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("kl_ab", "kl_ba", "jeffreys")])
 
 
-@query("merge_clusters")
+@query(
+    "merge_clusters",
+    f"""WITH {_DIVERGE}, best AS (SELECT a, b FROM pairs ORDER BY j LIMIT 1),
+    joined AS (SELECT vec_id, CASE WHEN label = b THEN a ELSE label END AS g FROM embeddings, best)
+    SELECT vec_id, CAST(dense_rank() OVER (ORDER BY g) AS INT) AS cluster FROM joined""",
+)
 def _(spark, sf):
-    return cluster.merge_clusters(_plane(spark, sf), 0.05).select("vec_id", "cluster")
+    """The threshold lies between the two closest pairs, so exactly one pair is joined."""
+    rows = _plane(spark, sf)
+    closest = cluster.gaussian_divergence(cluster.component_moments(rows), ridge=1e-6).orderBy("jeffreys").limit(2)
+    threshold = closest.agg(F.avg("jeffreys")).first()[0]
+    return cluster.merge_clusters(rows, threshold).select("vec_id", "cluster")
 
 
-@query("stabilise_labels")
+@query(
+    "stabilise_labels",
+    """SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INT) AS first,
+    CAST(dense_rank() OVER (ORDER BY label) - 1 AS INT) AS second FROM embeddings""",
+)
 def _(spark, sf):
-    """Labels of a second clustering renamed to the components of a first one."""
+    """A second clustering with other labels for the same components gets the first one's ids."""
     registry = cluster.Registry()
-    first = cluster.stabilise_labels(_plane(spark, sf), registry, 0.5)
+    first = cluster.stabilise_labels(_plane(spark, sf), registry, 1e-4)
     second = _plane(spark, sf).withColumn("cluster", (F.col("cluster") + 3) % 10)
-    second = cluster.stabilise_labels(second, registry, 0.5)
+    second = cluster.stabilise_labels(second, registry, 1e-4)
     return first.select("vec_id", F.col("cluster").alias("first")).join(
         second.select("vec_id", F.col("cluster").alias("second")), "vec_id"
     )
 
 
-@query("match_components")
+@query(
+    "match_components",
+    """SELECT CAST(label AS BIGINT) AS cluster, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS global_id
+    FROM (SELECT DISTINCT label FROM embeddings)""",
+)
 def _(spark, sf):
-    return cluster.match_components(cluster.component_moments(_plane(spark, sf)), cluster.Registry(), 0.5)
+    return cluster.match_components(cluster.component_moments(_plane(spark, sf)), cluster.Registry(), 1e-4)
 
 
-@query(
-    "davies_bouldin",
-    f"""WITH {DISTRIBUTIONS}, c AS (SELECT label, i, avg(strain) AS m FROM cells GROUP BY 1, 2),
+_BOULDIN = f"""{DISTRIBUTIONS}, c AS (SELECT label, i, avg(strain) AS m FROM cells GROUP BY 1, 2),
     s AS (SELECT label, avg(r) AS s FROM (SELECT x.label, vec_id, sqrt(sum((strain - m) ** 2)) AS r
       FROM cells x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY 1, 2) GROUP BY label),
     d AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) ** 2)) AS d FROM c a JOIN c b
       ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2),
     w AS (SELECT d.a, max((sa.s + sb.s) / d.d) AS worst FROM d JOIN s sa ON sa.label = d.a JOIN s sb ON sb.label = d.b
-      GROUP BY d.a)
-    SELECT round(avg(worst), 6) AS davies_bouldin FROM w""",
-)
+      GROUP BY d.a)"""
+
+
+@query("davies_bouldin", f"WITH {_BOULDIN} SELECT round(avg(worst), 6) AS davies_bouldin FROM w")
 def _(spark, sf):
     out = cluster.davies_bouldin(distributions(spark, sf), "profile", "label")
     return out.select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
-@query("cluster_quality")
+@query(
+    "cluster_quality",
+    f"""WITH {_BOULDIN}, gaps AS (SELECT x.vec_id, x.label AS own, y.label AS other,
+        avg(list_distance(x.profile, y.profile) ** 2) AS far
+      FROM distributions x JOIN distributions y ON x.vec_id <> y.vec_id GROUP BY 1, 2, 3),
+    sides AS (SELECT vec_id, min(far) FILTER (own = other) AS a, min(far) FILTER (own <> other) AS b
+      FROM gaps GROUP BY vec_id)
+    SELECT (SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 FROM sides) AS silhouette,
+           (SELECT round(avg(worst), 6) + 0.0 FROM w) AS davies_bouldin""",
+)
 def _(spark, sf):
     out = cluster.cluster_quality(distributions(spark, sf), "profile", "label")
     return out.select(r6("silhouette").alias("silhouette"), r6("davies_bouldin").alias("davies_bouldin"))
