@@ -72,18 +72,18 @@ def _(spark, sf):
 
 @query(
     "read_threshold",
-    f"WITH {ERRORS} SELECT round(avg(error), 6) AS mean_error, round(stddev_pop(error), 6) AS std_error FROM errors",
+    f"WITH {ERRORS} SELECT round(avg(error) + 1e-9, 6) AS mean_error, round(stddev_pop(error) + 1e-9, 6) AS std_error FROM errors",
 )
 def _(spark, sf):
     path = _new_path(spark, "threshold")
     writers.write_threshold(anomaly.error_threshold(views.errors(spark, sf)), path)
     out = readers.read_threshold(spark, path)
-    return out.select(F.round("mean_error", 6).alias("mean_error"), F.round("std_error", 6).alias("std_error"))
+    return out.select(r6("mean_error").alias("mean_error"), r6("std_error").alias("std_error"))
 
 
 @query(
     "read_distribution_csv",
-    f"""WITH {DISTRIBUTIONS} SELECT strftime(ts, '%Y-%m-%d %H%M%S') AS timestamp, i, round(strain, 6) + 0.0 AS strain
+    f"""WITH {DISTRIBUTIONS} SELECT strftime(ts, '%Y-%m-%d %H%M%S') AS timestamp, i, round(strain + 1e-9, 6) + 0.0 AS strain
     FROM cells""",
 )
 def _(spark, sf):
@@ -95,7 +95,7 @@ def _(spark, sf):
     return out.select("timestamp", F.col("i").cast("long").alias("i"), r6("strain").alias("strain"))
 
 
-@query("write_distribution", f"WITH {DISTRIBUTIONS} SELECT ts, coord, round(strain, 6) + 0.0 AS strain FROM cells")
+@query("write_distribution", f"WITH {DISTRIBUTIONS} SELECT ts, coord, round(strain + 1e-9, 6) + 0.0 AS strain FROM cells")
 def _(spark, sf):
     path = _new_path(spark, "cells")
     cells = views.distributions(spark, sf).select("ts", F.posexplode("profile").alias("i", "strain"))

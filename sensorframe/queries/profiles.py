@@ -26,12 +26,12 @@ flags AS (SELECT vec_id,
 
 @query(
     "row_stats",
-    f"""WITH {_STATS} SELECT vec_id, round(abs_mean, 6) AS abs_mean, round(abs_std, 6) AS abs_std,
-    round(abs_max, 6) AS abs_max FROM stats""",
+    f"""WITH {_STATS} SELECT vec_id, round(abs_mean + 1e-9, 6) AS abs_mean, round(abs_std + 1e-9, 6) AS abs_std,
+    round(abs_max + 1e-9, 6) AS abs_max FROM stats""",
 )
 def _(spark, sf):
     out = distribution.row_stats(distributions(spark, sf))
-    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("abs_mean", "abs_std", "abs_max")])
+    return out.select("vec_id", *[r6(c).alias(c) for c in ("abs_mean", "abs_std", "abs_max")])
 
 
 @query("outlier_flags", f"WITH {_STATS} SELECT * FROM flags")
@@ -84,8 +84,8 @@ def _(spark, sf):
     f"""WITH {DISTRIBUTIONS}, p AS (SELECT label, coord, avg(strain) AS mean, stddev_samp(strain) AS std
       FROM cells WHERE label IN (0, 2, 3, 7) GROUP BY 1, 2),
     a AS (SELECT label, avg(std) AS avg_std FROM p GROUP BY label)
-    SELECT label, coord, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std, round(mean - std, 6) + 0.0 AS lower,
-      round(mean + std, 6) + 0.0 AS upper, round(avg_std, 6) AS avg_std FROM p JOIN a USING (label)""",
+    SELECT label, coord, round(mean + 1e-9, 6) + 0.0 AS mean, round(std + 1e-9, 6) AS std, round(mean - std + 1e-9, 6) + 0.0 AS lower,
+      round(mean + std + 1e-9, 6) + 0.0 AS upper, round(avg_std + 1e-9, 6) AS avg_std FROM p JOIN a USING (label)""",
 )
 def _(spark, sf):
     out = distribution.cluster_profiles(distributions(spark, sf), [0, 2, 3, 7], label="label")
@@ -121,7 +121,7 @@ def _(spark, sf):
 @query(
     "label_confidence",
     f"""WITH {DISTRIBUTIONS} SELECT vec_id, round(avg(abs(profile[1])) OVER (ORDER BY ts
-    ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS confidence FROM distributions""",
+    ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 1e-9, 6) AS confidence FROM distributions""",
 )
 def _(spark, sf):
     rows = distributions(spark, sf).select(
@@ -129,7 +129,7 @@ def _(spark, sf):
     )
     rows = number_by_time(rows, time="ts", ties=["vec_id"])
     out = rolling.label_confidence(rows, "probability", 7, ["sensor"])
-    return out.select("vec_id", F.round("confidence", 6).alias("confidence"))
+    return out.select("vec_id", r6("confidence").alias("confidence"))
 
 
 @query("explained_variance")
@@ -186,8 +186,8 @@ def _plane(spark, sf):
 
 @query(
     "component_moments",
-    f"""WITH {_PLANE} SELECT cluster, n, round(mx, 6) + 0.0 AS mx, round(my, 6) + 0.0 AS my, round(xx, 6) AS xx,
-    round(xy, 6) + 0.0 AS xy, round(yy, 6) AS yy FROM moments""",
+    f"""WITH {_PLANE} SELECT cluster, n, round(mx + 1e-9, 6) + 0.0 AS mx, round(my + 1e-9, 6) + 0.0 AS my, round(xx + 1e-9, 6) AS xx,
+    round(xy + 1e-9, 6) + 0.0 AS xy, round(yy + 1e-9, 6) AS yy FROM moments""",
 )
 def _(spark, sf):
     out = cluster.component_moments(_plane(spark, sf))
@@ -212,13 +212,13 @@ _DIVERGE = f"""{_PLANE}, c AS (SELECT *, xx * yy - xy * xy AS det FROM moments),
 
 @query(
     "gaussian_divergence",
-    f"""WITH {_DIVERGE} SELECT CAST(f.a AS BIGINT) AS a, CAST(f.b AS BIGINT) AS b, round(f.kl, 6) AS kl_ab,
-    round(r.kl, 6) AS kl_ba, round(0.5 * (f.kl + r.kl), 6) AS jeffreys
+    f"""WITH {_DIVERGE} SELECT CAST(f.a AS BIGINT) AS a, CAST(f.b AS BIGINT) AS b, round(f.kl + 1e-9, 6) AS kl_ab,
+    round(r.kl + 1e-9, 6) AS kl_ba, round(0.5 * (f.kl + r.kl) + 1e-9, 6) AS jeffreys
     FROM kls f JOIN kls r ON f.a = r.b AND f.b = r.a WHERE f.a < f.b""",
 )
 def _(spark, sf):
     out = cluster.gaussian_divergence(cluster.component_moments(_plane(spark, sf)))
-    return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("kl_ab", "kl_ba", "jeffreys")])
+    return out.select("a", "b", *[r6(c).alias(c) for c in ("kl_ab", "kl_ba", "jeffreys")])
 
 
 @query(
@@ -269,10 +269,10 @@ _BOULDIN = f"""{DISTRIBUTIONS}, c AS (SELECT label, i, avg(strain) AS m FROM cel
       GROUP BY d.a)"""
 
 
-@query("davies_bouldin", f"WITH {_BOULDIN} SELECT round(avg(worst), 6) AS davies_bouldin FROM w")
+@query("davies_bouldin", f"WITH {_BOULDIN} SELECT round(avg(worst) + 1e-9, 6) AS davies_bouldin FROM w")
 def _(spark, sf):
     out = cluster.davies_bouldin(distributions(spark, sf), "profile", "label")
-    return out.select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
+    return out.select(r6("davies_bouldin").alias("davies_bouldin"))
 
 
 @query(
@@ -282,8 +282,8 @@ def _(spark, sf):
       FROM distributions x JOIN distributions y ON x.vec_id <> y.vec_id GROUP BY 1, 2, 3),
     sides AS (SELECT vec_id, min(far) FILTER (own = other) AS a, min(far) FILTER (own <> other) AS b
       FROM gaps GROUP BY vec_id)
-    SELECT (SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 FROM sides) AS silhouette,
-           (SELECT round(avg(worst), 6) + 0.0 FROM w) AS davies_bouldin""",
+    SELECT (SELECT round(avg((b - a) / greatest(a, b)) + 1e-9, 6) + 0.0 FROM sides) AS silhouette,
+           (SELECT round(avg(worst) + 1e-9, 6) + 0.0 FROM w) AS davies_bouldin""",
 )
 def _(spark, sf):
     out = cluster.cluster_quality(distributions(spark, sf), "profile", "label")
@@ -382,13 +382,13 @@ def _(spark, sf):
 @query(
     "sankey_positions",
     f"""WITH {_LINKS}, parts AS (SELECT *, split_part(name, '_', 1) AS t, split_part(name, '_', 2) AS c FROM nodes)
-    SELECT name, id, round((dense_rank() OVER (ORDER BY t) - 1)::DOUBLE / (SELECT count(DISTINCT t) - 1 FROM parts), 6) AS x,
-    round((dense_rank() OVER (ORDER BY c) - 1)::DOUBLE / (SELECT count(DISTINCT c) FROM parts), 6) AS y FROM parts""",
+    SELECT name, id, round((dense_rank() OVER (ORDER BY t) - 1)::DOUBLE / (SELECT count(DISTINCT t) - 1 FROM parts) + 1e-9, 6) AS x,
+    round((dense_rank() OVER (ORDER BY c) - 1)::DOUBLE / (SELECT count(DISTINCT c) FROM parts) + 1e-9, 6) AS y FROM parts""",
 )
 def _(spark, sf):
     links = sankey.cluster_transitions(views.snapshots(spark, sf))
     out = sankey.sankey_positions(sankey.sankey_nodes(links))
-    return out.select("name", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return out.select("name", "id", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query(

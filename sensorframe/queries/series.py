@@ -10,7 +10,7 @@ from sensorframe.queries import views
 from sensorframe.queries.registry import query
 from sensorframe.queries.views import ERRORS, READINGS, SHIFTS, readings, sql_clean, sql_fill, sql_runs
 
-SERIES = "sensor, rn, time, round(strain, 6) + 0.0 AS strain, round(temperature, 6) + 0.0 AS temperature"
+SERIES = "sensor, rn, time, round(strain + 1e-9, 6) + 0.0 AS strain, round(temperature + 1e-9, 6) + 0.0 AS temperature"
 
 
 def _series(df):
@@ -35,7 +35,7 @@ def _(spark, sf):
 @query(
     "renumber",
     f"""WITH {READINGS} SELECT sensor, row_number() OVER (PARTITION BY sensor ORDER BY rn) - 1 AS rn, time,
-    round(strain, 6) + 0.0 AS strain, round(temperature, 6) + 0.0 AS temperature
+    round(strain + 1e-9, 6) + 0.0 AS strain, round(temperature + 1e-9, 6) + 0.0 AS temperature
     FROM readings WHERE strain IS NULL OR strain <> 0""",
 )
 def _(spark, sf):
@@ -53,8 +53,8 @@ def _(spark, sf):
 
 @query(
     "trim_rows",
-    f"""WITH {READINGS} SELECT sensor, rn - 30 AS rn, time, round(strain, 6) + 0.0 AS strain,
-    round(temperature, 6) + 0.0 AS temperature
+    f"""WITH {READINGS} SELECT sensor, rn - 30 AS rn, time, round(strain + 1e-9, 6) + 0.0 AS strain,
+    round(temperature + 1e-9, 6) + 0.0 AS temperature
     FROM readings JOIN lens USING (sensor) WHERE rn >= 30 AND rn < n - 1""",
 )
 def _(spark, sf):
@@ -76,8 +76,8 @@ def _(spark, sf):
 
 @query(
     "fill_missing",
-    f"""WITH {READINGS} SELECT sensor, rn, time, round(coalesce(strain, 0), 6) + 0.0 AS strain,
-    round(coalesce(temperature, 0), 6) + 0.0 AS temperature FROM readings""",
+    f"""WITH {READINGS} SELECT sensor, rn, time, round(coalesce(strain, 0) + 1e-9, 6) + 0.0 AS strain,
+    round(coalesce(temperature, 0) + 1e-9, 6) + 0.0 AS temperature FROM readings""",
 )
 def _(spark, sf):
     return _series(filters.fill_missing(readings(spark, sf), 0, ["strain", "temperature"]))
@@ -163,7 +163,7 @@ def _(spark, sf):
     f"""WITH {READINGS}, {sql_runs('nonzero', 'valid', 'strain IS NOT NULL')},
     means AS (SELECT sensor, island, avg(strain) AS m FROM valid_i GROUP BY 1, 2),
     centred AS (SELECT v.sensor, v.rn, v.strain - m AS strain FROM valid_i v JOIN means USING (sensor, island))
-    SELECT n.sensor, n.rn, n.time, round(c.strain, 6) + 0.0 AS strain, round(temperature, 6) + 0.0 AS temperature
+    SELECT n.sensor, n.rn, n.time, round(c.strain + 1e-9, 6) + 0.0 AS strain, round(temperature + 1e-9, 6) + 0.0 AS temperature
     FROM nonzero n LEFT JOIN centred c ON n.sensor = c.sensor AND n.rn = c.rn""",
 )
 def _(spark, sf):
@@ -186,8 +186,8 @@ shifted AS (SELECT sensor, s, e, delta, sum(delta) OVER (PARTITION BY sensor ORD
 @query(
     "rebaseline_regions",
     _REBASE
-    + """ SELECT n.sensor, n.rn, n.time, round(n.strain + coalesce(shift, 0), 6) + 0.0 AS strain,
-    round(n.temperature, 6) + 0.0 AS temperature
+    + """ SELECT n.sensor, n.rn, n.time, round(n.strain + coalesce(shift, 0) + 1e-9, 6) + 0.0 AS strain,
+    round(n.temperature + 1e-9, 6) + 0.0 AS temperature
     FROM nonzero n LEFT JOIN pos p ON n.sensor = p.sensor AND n.rn = p.rn
     LEFT JOIN shifted h ON p.sensor = h.sensor AND p.s = h.s""",
 )
@@ -198,8 +198,8 @@ def _(spark, sf):
 @query(
     "region_shifts",
     _REBASE
-    + """ SELECT sensor, s AS run_start, e AS run_end, round(delta, 6) + 0.0 AS delta,
-    round(shift, 6) + 0.0 AS shift FROM shifted""",
+    + """ SELECT sensor, s AS run_start, e AS run_end, round(delta + 1e-9, 6) + 0.0 AS delta,
+    round(shift + 1e-9, 6) + 0.0 AS shift FROM shifted""",
 )
 def _(spark, sf):
     found = regions.region_shifts(filters.zero_to_null(readings(spark, sf)))
@@ -223,8 +223,8 @@ def _(spark, sf):
 @query(
     "merge_segment",
     f"""{_SHIFTED} SELECT r.sensor, r.rn, r.time,
-    round(CASE WHEN r.rn BETWEEN 86 AND 140 THEN m.strain ELSE r.strain END, 6) + 0.0 AS strain,
-    round(r.temperature, 6) + 0.0 AS temperature
+    round(CASE WHEN r.rn BETWEEN 86 AND 140 THEN m.strain ELSE r.strain END + 1e-9, 6) + 0.0 AS strain,
+    round(r.temperature + 1e-9, 6) + 0.0 AS temperature
     FROM readings r JOIN moved m ON r.sensor = m.sensor AND r.rn = m.rn""",
 )
 def _(spark, sf):
@@ -365,8 +365,8 @@ def _(spark, sf):
     ranges AS (SELECT sensor, min(strain) AS a, max(strain) AS b, min(temperature) AS c, max(temperature) AS d
       FROM parts WHERE train GROUP BY sensor)
     SELECT sensor, CASE WHEN train THEN rn ELSE rn - cut END AS rn, train,
-      round((strain - a) / coalesce(nullif(b - a, 0), 1), 6) + 0.0 AS strain,
-      round((temperature - c) / coalesce(nullif(d - c, 0), 1), 6) + 0.0 AS temperature
+      round((strain - a) / coalesce(nullif(b - a, 0), 1) + 1e-9, 6) + 0.0 AS strain,
+      round((temperature - c) / coalesce(nullif(d - c, 0), 1) + 1e-9, 6) + 0.0 AS temperature
     FROM parts JOIN ranges USING (sensor)""",
 )
 def _(spark, sf):
@@ -394,7 +394,7 @@ rolled AS (SELECT * FROM (SELECT *, avg(error) OVER w AS rolling_error, count(*)
   WINDOW w AS (PARTITION BY sensor ORDER BY rn ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING)) WHERE have = 18)"""
 
 
-@query("rolling_error", f"WITH {_ROLLED} SELECT sensor, rn, time, round(rolling_error, 6) + 0.0 AS rolling_error FROM rolled")
+@query("rolling_error", f"WITH {_ROLLED} SELECT sensor, rn, time, round(rolling_error + 1e-9, 6) + 0.0 AS rolling_error FROM rolled")
 def _(spark, sf):
     out = anomaly.rolling_error(views.errors(spark, sf), 18)
     return out.select("sensor", "rn", "time", r6("rolling_error").alias("rolling_error"))
@@ -402,20 +402,20 @@ def _(spark, sf):
 
 @query(
     "error_threshold",
-    f"""WITH {ERRORS} SELECT round(avg(error), 6) AS mean_error, round(stddev_pop(error), 6) AS std_error,
-    round(avg(error) + 10 * stddev_pop(error), 5) AS threshold FROM errors""",
+    f"""WITH {ERRORS} SELECT round(avg(error) + 1e-9, 6) AS mean_error, round(stddev_pop(error) + 1e-9, 6) AS std_error,
+    round(avg(error) + 10 * stddev_pop(error) + 1e-8, 5) AS threshold FROM errors""",
 )
 def _(spark, sf):
     return anomaly.error_threshold(views.errors(spark, sf)).select(
-        F.round("mean_error", 6).alias("mean_error"),
-        F.round("std_error", 6).alias("std_error"),
-        F.round("threshold", 5).alias("threshold"),
+        r6("mean_error").alias("mean_error"),
+        r6("std_error").alias("std_error"),
+        F.round(F.col("threshold") + 1e-8, 5).alias("threshold"),
     )
 
 
 @query(
     "score_table",
-    f"WITH {ERRORS} SELECT sensor, rn, round(error, 6) + 0.0 AS error FROM errors",
+    f"WITH {ERRORS} SELECT sensor, rn, round(error + 1e-9, 6) + 0.0 AS error FROM errors",
 )
 def _(spark, sf):
     both = views.errors(spark, sf)
@@ -423,10 +423,10 @@ def _(spark, sf):
     return out.select("sensor", "rn", r6("error").alias("error"))
 
 
-@query("anomaly_points_single", f"WITH {ERRORS} SELECT sensor, rn, time, round(error, 6) AS error FROM errors WHERE error > 400")
+@query("anomaly_points_single", f"WITH {ERRORS} SELECT sensor, rn, time, round(error + 1e-9, 6) AS error FROM errors WHERE error > 400")
 def _(spark, sf):
     out = anomaly.anomaly_points(views.errors(spark, sf), 400.0, 1)
-    return out.select("sensor", "rn", "time", F.round("error", 6).alias("error"))
+    return out.select("sensor", "rn", "time", r6("error").alias("error"))
 
 
 _POINTS2 = f"""WITH {ERRORS}, {sql_runs('errors', 'hot', 'error > 300')},
@@ -434,10 +434,10 @@ kept AS (SELECT i.* FROM hot_i i JOIN hot h ON i.sensor = h.sensor AND i.rn BETW
          WHERE length >= 3)"""
 
 
-@query("anomaly_points_runs", f"{_POINTS2} SELECT sensor, rn, time, round(error, 6) AS error FROM kept")
+@query("anomaly_points_runs", f"{_POINTS2} SELECT sensor, rn, time, round(error + 1e-9, 6) AS error FROM kept")
 def _(spark, sf):
     out = anomaly.anomaly_points(views.errors(spark, sf), 300.0, 2, min_run=3)
-    return out.select("sensor", "rn", "time", F.round("error", 6).alias("error"))
+    return out.select("sensor", "rn", "time", r6("error").alias("error"))
 
 
 _POINTS3 = f"""WITH {_ROLLED}, {sql_runs('rolled', 'hot', 'rolling_error > 250')},
@@ -447,11 +447,11 @@ kept AS (SELECT i.* FROM hot_i i JOIN hot h ON i.sensor = h.sensor AND i.rn BETW
 
 @query(
     "anomaly_points_rolling",
-    f"{_POINTS3} SELECT sensor, rn, time, round(rolling_error, 6) AS rolling_error FROM kept",
+    f"{_POINTS3} SELECT sensor, rn, time, round(rolling_error + 1e-9, 6) AS rolling_error FROM kept",
 )
 def _(spark, sf):
     out = anomaly.anomaly_points(views.errors(spark, sf), 250.0, 3)
-    return out.select("sensor", "rn", "time", F.round("rolling_error", 6).alias("rolling_error"))
+    return out.select("sensor", "rn", "time", r6("rolling_error").alias("rolling_error"))
 
 
 @query(

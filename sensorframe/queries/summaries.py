@@ -162,14 +162,14 @@ def _(spark, sf):
 
 @query(
     "describe_series",
-    f"""WITH {READINGS} SELECT sensor, count(strain) AS n, round(avg(strain), 6) AS mean,
-    round(stddev_samp(strain), 6) AS std, min(strain) AS min, round(quantile_cont(strain, 0.25), 6) AS q25,
-    round(quantile_cont(strain, 0.5), 6) AS q50, round(quantile_cont(strain, 0.75), 6) AS q75, max(strain) AS max
+    f"""WITH {READINGS} SELECT sensor, count(strain) AS n, round(avg(strain) + 1e-9, 6) AS mean,
+    round(stddev_samp(strain) + 1e-9, 6) AS std, min(strain) AS min, round(quantile_cont(strain, 0.25) + 1e-9, 6) AS q25,
+    round(quantile_cont(strain, 0.5) + 1e-9, 6) AS q50, round(quantile_cont(strain, 0.75) + 1e-9, 6) AS q75, max(strain) AS max
     FROM nonzero GROUP BY sensor""",
 )
 def _(spark, sf):
     out = explore.describe_series(_nonzero(spark, sf))
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
+    return out.withColumns({c: r6(c) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
 @query(
@@ -177,13 +177,13 @@ def _(spark, sf):
     f"""WITH {READINGS}, e AS (SELECT sensor, min(temperature) AS lo, max(temperature) AS hi FROM readings GROUP BY sensor),
     c AS (SELECT r.sensor, CAST(least(floor((temperature - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, count(*) AS n
       FROM readings r JOIN e USING (sensor) WHERE temperature IS NOT NULL GROUP BY 1, 2)
-    SELECT e.sensor, CAST(b.bin AS INT) AS bin, round(lo + b.bin * ((hi - lo) / 30), 6) AS lo,
-      round(lo + (b.bin + 1) * ((hi - lo) / 30), 6) AS hi, coalesce(n, 0) AS n
+    SELECT e.sensor, CAST(b.bin AS INT) AS bin, round(lo + b.bin * ((hi - lo) / 30) + 1e-9, 6) AS lo,
+      round(lo + (b.bin + 1) * ((hi - lo) / 30) + 1e-9, 6) AS hi, coalesce(n, 0) AS n
     FROM e CROSS JOIN (SELECT unnest(range(30)) AS bin) b LEFT JOIN c ON c.sensor = e.sensor AND c.bin = b.bin""",
 )
 def _(spark, sf):
     out = explore.histogram(views.readings(spark, sf), "temperature", 30)
-    return out.withColumn("lo", F.round("lo", 6)).withColumn("hi", F.round("hi", 6))
+    return out.withColumn("lo", r6("lo")).withColumn("hi", r6("hi"))
 
 
 @query(
@@ -206,7 +206,7 @@ def _(spark, sf):
     "pairwise_correlation",
     f"""WITH {READINGS}, m AS (SELECT sensor, time_bucket(INTERVAL '1 hour', time) AS t, avg(strain) AS strain
       FROM nonzero GROUP BY 1, 2)
-    SELECT a.sensor AS sensor_a, b.sensor AS sensor_b, count(*) AS n, round(corr(a.strain, b.strain), 6) + 0.0 AS corr
+    SELECT a.sensor AS sensor_a, b.sensor AS sensor_b, count(*) AS n, round(corr(a.strain, b.strain) + 1e-9, 6) + 0.0 AS corr
     FROM m a JOIN m b ON a.t = b.t AND a.sensor <= b.sensor WHERE a.strain IS NOT NULL AND b.strain IS NOT NULL
     GROUP BY 1, 2""",
 )
@@ -234,17 +234,17 @@ def _(spark, sf):
     placed AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY ts, loop
         ORDER BY TRY_CAST(nullif(regexp_extract(span, '\\d+'), '') AS DOUBLE) NULLS LAST, span
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ext)
-    SELECT line, r.ts, r.loop, r.span, coord, round(coord - a + off, 6) AS beam_coord
+    SELECT line, r.ts, r.loop, r.span, coord, round(coord - a + off + 1e-9, 6) AS beam_coord
     FROM raw r JOIN placed p ON p.ts = r.ts AND p.loop = r.loop AND p.span = r.span""",
 )
 def _(spark, sf):
     out = joins.beam_coordinates(views.raw_readings(spark, sf))
-    return out.select("line", "ts", "loop", "span", "coord", F.round("beam_coord", 6).alias("beam_coord"))
+    return out.select("line", "ts", "loop", "span", "coord", r6("beam_coord").alias("beam_coord"))
 
 
 @query(
     "distribution_matrix",
-    f"""WITH {RAW} SELECT ts, coord, round(strain, 6) + 0.0 AS strain FROM (
+    f"""WITH {RAW} SELECT ts, coord, round(strain + 1e-9, 6) + 0.0 AS strain FROM (
       SELECT ts, coord, first(strain ORDER BY line) AS strain FROM raw WHERE loop = 'view' GROUP BY ts, coord)""",
 )
 def _(spark, sf):
@@ -328,7 +328,7 @@ def _(spark, sf):
     near AS (SELECT s.beam, support, first(coord ORDER BY abs(coord - at_m), coord) AS coord
       FROM sup s JOIN (SELECT DISTINCT beam, coord FROM pts) p ON p.beam = s.beam GROUP BY 1, 2),
     named AS (SELECT beam, coord, string_agg(support, ',' ORDER BY support) AS support FROM near GROUP BY 1, 2)
-    SELECT vec_id, p.beam, p.coord, round(strain, 6) + 0.0 AS strain, support
+    SELECT vec_id, p.beam, p.coord, round(strain + 1e-9, 6) + 0.0 AS strain, support
     FROM pts p LEFT JOIN named n ON n.beam = p.beam AND n.coord = p.coord""",
 )
 def _(spark, sf):
