@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import duration_text
-from sensorframe.plans.scan import CHUNK, first_of, last_of, mark_runs, runs, settle, spread, within
+from sensorframe.plans.scan import CHUNK, PART, first_of, last_of, mark_runs, runs, settle, spread, within
 from sensorframe.plans.sizing import Sized, attach, store
 
 KEYS = ["sensor"]
@@ -90,7 +90,7 @@ def sequences(
     rows = rows.select(
         *keys,
         "rn",
-        settle_key(),
+        PART,
         stamp.over(frame).alias("time"),
         F.collect_list(F.struct(*features)).over(frame).alias("sequence"),
         F.count(F.lit(1)).over(w.rowsBetween(0, need - 1)).alias("_have"),
@@ -98,12 +98,6 @@ def sequences(
     return settle(rows.filter(F.col("_have") == need).drop("_have"), size=size)
 
 
-def settle_key() -> Column:
-    from sensorframe.plans.scan import PART
-
-    return F.col(PART)
-
-
 def sequence_timestamps(df: DataFrame, length: int, label: str = "start", size: int = CHUNK) -> DataFrame:
     """Sequence number and the time it is labelled with."""
     rows = spread(df, KEYS, 0, length, size=size)

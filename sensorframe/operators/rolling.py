@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sensorframe.functions.columns import whole_hours
 from sensorframe.operators.filters import renumber, with_neighbour
 from sensorframe.plans.scan import CHUNK, PART, chunked, settle, spread, within
+from sensorframe.plans.sizing import store
 
 KEYS = ["sensor"]
 
@@ -127,6 +128,7 @@ def kalman_filter(
     filtered = rows.groupBy("sensor", PART).applyInPandas(
         local, f"sensor string, {PART} long, rn long, _x array<double>, _m array<double>"
     )
+    filtered = store(filtered)  # read for the chunk ends and for the rows
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per chunk
         pdf = pdf.sort_values(PART)

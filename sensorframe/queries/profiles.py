@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from sensorframe.functions.columns import r6
-from sensorframe.operators import cluster, density, distribution, explore, filters, joins, mixture, rolling, sankey
+from sensorframe.operators import cluster, density, distribution, explore, joins, mixture, rolling, sankey
 from sensorframe.plans.scan import number_by_time
 from sensorframe.queries import views
 from sensorframe.queries.registry import query

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorframe import schema
-from sensorframe.functions.columns import is_digits, r6, strip_blanks
-from sensorframe.operators import explore, filters, joins
+from sensorframe.functions.columns import r6
+from sensorframe.operators import distribution, explore, filters, joins
 from sensorframe.queries import views
 from sensorframe.queries.registry import query
 from sensorframe.queries.views import ALARM, DISTRIBUTIONS, GRID, LISTING, RAW, READINGS
@@ -248,8 +248,6 @@ def _(spark, sf):
       SELECT ts, coord, first(strain ORDER BY line) AS strain FROM raw WHERE loop = 'view' GROUP BY ts, coord)""",
 )
 def _(spark, sf):
-    from sensorframe.operators import distribution
-
     matrix = distribution.distribution_matrix(views.raw_readings(spark, sf), "view", coord="coord")
     return matrix.select("ts", F.inline("cells")).select("ts", "coord", r6("strain").alias("strain"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorframe.functions.columns import grid_floor
-from sensorframe.operators import anomaly, joins, rolling
+from sensorframe.operators import joins, rolling
 from sensorframe.plans.scan import number_by_time
 
 

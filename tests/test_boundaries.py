@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sensorframe.operators import anomaly, cleaning, cluster, distribution, explore, filters, joins, regions, rolling, sankey
+from sensorframe.operators import anomaly, cleaning, explore, filters, joins, regions, rolling, sankey
 
 LAYOUT = "sensor string, rn bigint, time timestamp, strain double, temperature double"
 

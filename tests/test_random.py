@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.functions.quantiles import bracketed_quantiles, exact_quantiles
-from sensorframe.operators import anomaly, cleaning, explore, filters, joins, regions, rolling
+from sensorframe.operators import anomaly, cleaning, explore, regions, rolling
 from sensorframe.plans import scan
 from sensorframe.plans.sizing import attach
 

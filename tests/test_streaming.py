@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sensorframe.operators import mixture
