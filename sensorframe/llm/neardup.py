@@ -133,8 +133,8 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Stored ``(a, b, shared, together, linked)`` from whole sets; only texts that occur in a pair are shingled."""
+def _shingle_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """Stored ``(cid, shingles)`` of the texts that occur in a pair."""
     involved = store(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     few = involved.count() <= BROADCAST_ROWS
     wanted = reps.select("cid", "first.*").join(F.broadcast(involved) if few else involved, "cid")
@@ -142,7 +142,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, p
     wanted = F.broadcast(wanted) if few else wanted
     texts = docs.join(wanted, (docs.t1 == wanted.t1) & (docs.t2 == wanted.t2) & docs.id.eqNullSafe(wanted._id))
     sets = texts.select("cid", "text").mapInArrow(_sets(shingle), "cid long, shingles array<long>")
-    sets = store(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")))  # repeated rows give one set
+    return store(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")))  # repeated rows give one set
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored ``(a, b, shared, together, linked)`` from whole sets."""
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     counted = (
@@ -154,19 +158,36 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, p
     return store(counted.withColumn("linked", F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("together")))
 
 
-def _across(members: DataFrame, known: DataFrame, roots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components under one key that could still be links."""
+def _across(
+    members: DataFrame, known: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """Pairs of different components under one key that could still be links.
+
+    Shingles that no other text in question holds cannot be shared: what is left of a text bounds its
+    similarity to every partner, which rules out heavily edited copies before any pair is formed.
+    """
     placed = members.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     placed = placed.select("key", "head", "cid", F.coalesce("root", "cid").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    placed = store(placed.join(split.select("key"), "key"))
+    asked = sets.join(placed.select("cid").distinct(), "cid")
+    holders = asked.select("cid", F.explode("shingles").alias("s")).groupBy("s")
+    alone = holders.agg(F.count(F.lit(1)).alias("texts"), F.min("cid").alias("cid")).filter("texts = 1")
+    alone = alone.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+    sized = asked.select("cid", F.size("shingles").alias("n")).join(alone, "cid", "left")
+    sized = sized.select("cid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+    sized = sized.filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
     far = known.select(
         F.col("a").alias("head"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("together")).alias("far")
     )
-    placed = store(placed.join(split.select("key"), "key").join(far, ["head", "cid"], "left").fillna(0.0, ["far"]))
+    placed = store(placed.join(sized, "cid").join(far, ["head", "cid"], "left").fillna(0.0, ["far"]))
     one, two = placed.alias("one"), placed.alias("two")
+    differ = F.expr("one.key = two.key AND one.root < two.root AND one.cid <> one.head AND two.cid <> two.head")
+    most = F.least("one.m", "two.m")
+    fits = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("one.n") + F.col("two.n"))
+    close = F.abs(F.col("one.far") - F.col("two.far")) <= F.lit(1 - percent / 100 + 1e-9)
     pairs = (
-        one.join(two, F.expr("one.key = two.key AND one.root < two.root AND one.cid <> one.head AND two.cid <> two.head"))
-        .filter(F.abs(F.col("one.far") - F.col("two.far")) <= F.lit(1 - percent / 100 + 1e-9))
+        one.join(two, differ & fits & close)
         .select(F.least("one.cid", "two.cid").alias("a"), F.greatest("one.cid", "two.cid").alias("b"))
         .distinct()
     )
@@ -204,11 +225,13 @@ def clusters(
     heads = keys.groupBy("key").agg(F.min("cid").alias("head"), F.max("cid").alias("last")).filter("head < last")
     members = store(keys.join(heads.select("key", "head"), "key"))
     stars = members.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    known = _confirm(store(stars), base, reps, shingle, percent)
+    stars = store(stars)
+    sets = _shingle_sets(stars, base, reps, shingle)
+    known = _confirm(stars, sets, percent)
     roots = components(known.filter("linked"))
-    pairs = _across(members, known, roots, reps, percent)
+    pairs = _across(members, known, roots, reps, sets, percent)
     if not pairs.isEmpty():
-        late = _confirm(pairs, base, reps, shingle, percent).filter("linked")
+        late = _confirm(pairs, sets, percent).filter("linked")
         if not late.isEmpty():
             roots = components(known.filter("linked").select("a", "b").union(late.select("a", "b")))
     placed = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
