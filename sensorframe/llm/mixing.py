@@ -24,7 +24,7 @@ BUCKETS = 1 << 14
 #: labelled rows the classifier is fitted on, for each domain (about; rows are picked by a hash of the id)
 FIT_ROWS = 2000
 #: beyond this many words, evidence is averaged, so that long texts keep soft posteriors
-EVIDENCE = 200
+EVIDENCE = 25
 #: iterations whose steps are recomputed from one stored table
 FUSED = 8
 

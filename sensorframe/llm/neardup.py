@@ -29,6 +29,8 @@ from sensorframe.plans.sizing import BROADCAST_ROWS, store
 CHUNKS, SYMBOLS = 14, 5
 #: positions by which the signatures of a pair may differ; at similarity 0.8 more than 36 of 70 has probability 1e-9
 MOST_APART = 36
+#: shingles of a text are counted in this many cells; the cell-wise minima bound what two texts share
+CELLS = 256
 
 
 class Shingler:
@@ -120,7 +122,15 @@ def _sets(shingle: int):
             for i, j in tx.slices(offsets):
                 hashes, begin = shingler(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), lists], ["cid", "shingles"])
+                owner = np.repeat(np.arange(j - i), np.diff(begin))
+                tally = np.bincount(owner * CELLS + (hashes >> tx.U(56)).astype(np.int64), minlength=(j - i) * CELLS)
+                tally = tally.reshape(-1, CELLS)
+                tally[tally.max(axis=1) > 32767] = 32767  # no bound for such a text
+                cells = pa.ListArray.from_arrays(
+                    pa.array(np.arange(j - i + 1, dtype=np.int32) * CELLS), pa.array(tally.reshape(-1).astype(np.int16))
+                )
+                columns = [batch.column("cid").slice(i, j - i), lists, cells]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "shingles", "cells"])
 
     return run
 
@@ -134,15 +144,16 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """Stored ``(cid, shingles)`` of the texts that occur in a pair."""
+    """Stored ``(cid, shingles, cells)`` of the texts that occur in a pair."""
     involved = store(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     few = involved.count() <= BROADCAST_ROWS
     wanted = reps.select("cid", "first.*").join(F.broadcast(involved) if few else involved, "cid")
     wanted = wanted.select("cid", F.col("id").alias("_id"), "t1", "t2")
     wanted = F.broadcast(wanted) if few else wanted
     texts = docs.join(wanted, (docs.t1 == wanted.t1) & (docs.t2 == wanted.t2) & docs.id.eqNullSafe(wanted._id))
-    sets = texts.select("cid", "text").mapInArrow(_sets(shingle), "cid long, shingles array<long>")
-    return store(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")))  # repeated rows give one set
+    sets = texts.select("cid", "text").mapInArrow(_sets(shingle), "cid long, shingles array<long>, cells array<smallint>")
+    one = sets.groupBy("cid").agg(F.first(F.struct("shingles", "cells")).alias("set"))  # repeated rows give one set
+    return store(one.select("cid", "set.*"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +175,8 @@ def _across(
     """Pairs of different components under one key that could still be links.
 
     Shingles that no other text in question holds cannot be shared: what is left of a text bounds its
-    similarity to every partner, which rules out heavily edited copies before any pair is formed.
+    similarity to every partner, which rules out heavily edited copies before any pair is formed.  A pair is
+    formed only if the counts of shingles per cell admit the similarity.  None of these bounds loses a link.
     """
     placed = members.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     placed = placed.select("key", "head", "cid", F.coalesce("root", "cid").alias("root"))
@@ -174,8 +186,8 @@ def _across(
     holders = asked.select("cid", F.explode("shingles").alias("s")).groupBy("s")
     alone = holders.agg(F.count(F.lit(1)).alias("texts"), F.min("cid").alias("cid")).filter("texts = 1")
     alone = alone.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
-    sized = asked.select("cid", F.size("shingles").alias("n")).join(alone, "cid", "left")
-    sized = sized.select("cid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+    sized = asked.select("cid", F.size("shingles").alias("n"), "cells").join(alone, "cid", "left")
+    sized = sized.select("cid", "n", "cells", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
     sized = sized.filter(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
     far = known.select(
         F.col("a").alias("head"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("together")).alias("far")
@@ -183,11 +195,12 @@ def _across(
     placed = store(placed.join(sized, "cid").join(far, ["head", "cid"], "left").fillna(0.0, ["far"]))
     one, two = placed.alias("one"), placed.alias("two")
     differ = F.expr("one.key = two.key AND one.root < two.root AND one.cid <> one.head AND two.cid <> two.head")
-    most = F.least("one.m", "two.m")
-    fits = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("one.n") + F.col("two.n"))
+    least = F.lit(percent) * (F.col("one.n") + F.col("two.n"))
+    fits = F.lit(100 + percent) * F.least("one.m", "two.m") >= least
+    cellwise = F.aggregate(F.zip_with("one.cells", "two.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c.cast("int"))
     close = F.abs(F.col("one.far") - F.col("two.far")) <= F.lit(1 - percent / 100 + 1e-9)
     pairs = (
-        one.join(two, differ & fits & close)
+        one.join(two, differ & fits & close & (F.lit(100 + percent) * cellwise >= least))
         .select(F.least("one.cid", "two.cid").alias("a"), F.greatest("one.cid", "two.cid").alias("b"))
         .distinct()
     )

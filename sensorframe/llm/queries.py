@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import neardup, substring
+from sensorframe.llm import fingerprint, language, mixing, neardup, pieces, secrets, sharding, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: a public model file; the driver reads it once and sends its pieces along
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
@@ -19,14 +22,81 @@ def op1_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf), shingle=4, percent=80)
 
 
+#: wanted expected tokens of a domain as a multiple of what is there
+MIX = {"good": 1.2, "poor": 0.5, "toxic": 0.1}
+
+
+def domain() -> Column:
+    """Domain of a labelled document: toxic, else good or poor by quality."""
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
+
+
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rated, domains, _ = mixing.mix(_documents(spark, sf), labels, MIX, domain=domain())
+    shares = [F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
+    return rated.select(F.col("_id").alias("doc_id"), F.col("_tokens").alias("n_tokens"), *shares, F.col("_rate").alias("rate"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = substring.remove_repeats(_documents(spark, sf), window=35)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = pieces.PieceModel.load(MODEL)
+    encoded = pieces.encode(_documents(spark, sf).select("doc_id", "text"), model)
+    decoded = pieces.decode(encoded, model)
+    return decoded.select(
+        "doc_id",
+        "ids",
+        F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
+    )
+
+
+def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.fingerprints(_documents(spark, sf))
+
+
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(_documents(spark, sf), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+        count("random"),
+    )
+
+
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    model = language.fit(language.learnable(docs))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.place(_documents(spark, sf), 40)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_secrets": op7_secrets,
+    "op9_language": op9_language,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
