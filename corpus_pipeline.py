@@ -1,25 +1,62 @@
-"""Stages that turn raw documents into a training corpus."""
+"""Stages that turn raw documents into token ids of a training corpus."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import neardup
+from sensorframe.llm import language, mixing, neardup, pieces, secrets
+from sensorframe.llm.queries import MODEL, domain
 from sensorframe.plans.sizing import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: a language is accepted from this calibrated probability on
+MIN_SCORE = 0.3
+#: expected tokens of a domain after mixing, as a multiple of what is there
+MIX = {"good": 1.0, "poor": 0.5, "toxic": 0.02}
+
+
+def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts that are null or without letters go."""
+    model = language.fit(language.learnable(docs))
+    judged = language.predict(docs, model, lang="_lang_pred", score="_lang_score")
+    known = (F.col("_lang_pred") != language.UNKNOWN) & (F.col("_lang_score") >= MIN_SCORE)
+    return judged.filter(known).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
     return neardup.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in the text replaced; ``n_chars`` follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that meet the domains' token targets."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated, _, _ = mixing.mix(docs, labels, MIX, domain=domain())
+    return mixing.apply_rates(docs, rated)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their piece ids."""
+    return pieces.encode(docs, pieces.PieceModel.load(MODEL))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", accept_language),
+    ("near_dedup", near_dedup),
+    ("secrets", redact_secrets),
+    ("mixing", mix_domains),
+    ("sentencepiece", encode_pieces),
+]
 
-#: the stages are learned models and searches that SQL does not express
+#: the stages are learned models, searches and an encoder, which SQL does not express
 ORACLE_SQL: str | None = None
 
 

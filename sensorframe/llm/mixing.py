@@ -6,7 +6,7 @@ tokens of every domain meet a target: least squares over the rates, solved by pr
 
 Minimised is ``sum_k (S_k - T_k)**2 / D_k`` with ``S_k = sum_i rate_i * tokens_i * p_ik`` and ``D_k`` the natural
 total of domain k.  In the metric that weighs a document by its tokens the step length 1 is
-exact: the Hessian has row sums of one.  An iteration reads one summed row (K numbers) to
+safe: the Hessian has row sums of one.  An iteration reads one summed row (K numbers) to
 the driver; rates stay with the documents.
 """
 
@@ -104,43 +104,52 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 
 def fit_rates(
-    members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_iter: int = 500
+    members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_iter: int = 300
 ) -> tuple[DataFrame, float]:
     """Add ``_rate`` to ``(_tokens, _p, ...)`` and return the largest remaining miss, as a share of all targets.
 
-    Starts from rate 1 everywhere, so documents of domains that are on target stay at 1.  Stops when the
-    miss falls below ``tolerance`` or stops falling (targets out of reach: the least-squares fit remains).
+    Starts from rate 1 everywhere, so documents of domains that are on target stay near 1.  Step lengths after the first
+    are spectral (Barzilai and Borwein), from sums of the same job.  Stops when the miss is at most ``tolerance``
+    or has not fallen for 20 steps (targets out of reach); the rates with the least miss are returned.
     """
     k = len(targets)
     table = store(members.withColumn("_rate", F.lit(1.0)))
     weight = [F.col("_tokens") * F.col("_p")[i] for i in range(k)]
 
-    def summed(rows: DataFrame, scale: Column) -> list[float]:
-        got = rows.agg(*[F.sum(scale * w).alias(f"s{i}") for i, w in enumerate(weight)]).first()
-        return [float(x or 0.0) for x in got]
+    def summed(rows: DataFrame, rate: Column, before: Column) -> tuple[list[float], float]:
+        moved = F.sum(F.col("_tokens") * (rate - before) * (rate - before))
+        *sums, moved = rows.agg(*[F.sum(rate * w) for w in weight], moved).first()
+        return [float(x or 0.0) for x in sums], float(moved or 0.0)
 
-    natural = summed(table, F.lit(1.0))
+    rate = F.col("_rate")
+    natural = summed(table, rate, rate)[0]
     if not k or not sum(natural):
         return table, 0.0
     scale = max(sum(targets), 1e-12)
-    rate, fused, sums = F.col("_rate"), 0, natural
-    best, since = math.inf, 0
-    miss = max(abs(s - t) for s, t in zip(sums, targets)) / scale
+
+    def pulls(sums: list[float]) -> list[float]:
+        return [(s - t) / d if d > 0 else 0.0 for s, t, d in zip(sums, targets, natural)]
+
+    def missed(sums: list[float]) -> float:
+        return max(abs(s - t) for s, t in zip(sums, targets)) / scale
+
+    sums, fused, step, since = natural, 0, 1.0, 0
+    best = (missed(sums), table, rate)
     for _ in range(max_iter):
-        if miss <= tolerance:
-            break
-        since = 0 if miss < best * (1 - 1e-3) else since + 1
-        best = min(best, miss)
-        if since >= 5:
+        if best[0] <= tolerance or since >= 20:
             break
-        pull = [(s - t) / d if d > 0 else 0.0 for s, t, d in zip(sums, targets, natural)]
-        slope = sum((F.col("_p")[i] * F.lit(g) for i, g in enumerate(pull)), F.lit(0.0))
-        rate, fused = F.greatest(F.lit(0.0), rate - slope), fused + 1
+        slope = sum((F.col("_p")[i] * F.lit(g * step) for i, g in enumerate(pulls(sums))), F.lit(0.0))
+        before, rate, fused = rate, F.greatest(F.lit(0.0), rate - slope), fused + 1
+        earlier = sums
+        sums, moved = summed(table, rate, before)
+        bend = sum((s - e) * (g - h) for s, e, g, h in zip(sums, earlier, pulls(sums), pulls(earlier)))
+        step = min(max(moved / bend, 1.0), 1e4) if bend > 0 else 1.0
+        since = 0 if missed(sums) < best[0] else since + 1
+        if since == 0:
+            best = (missed(sums), table, rate)
         if fused == FUSED:
             table, rate, fused = store(table.withColumn("_rate", rate)), F.col("_rate"), 0
-        sums = summed(table, rate)
-        miss = max(abs(s - t) for s, t in zip(sums, targets)) / scale
-    return table.withColumn("_rate", rate), miss
+    return best[1].withColumn("_rate", best[2]), best[0]
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -161,7 +170,7 @@ def mix(
     domain: Column | None = None,
     fit_rows: int = FIT_ROWS,
     tolerance: float = 1e-4,
-    max_iter: int = 500,
+    max_iter: int = 300,
 ) -> tuple[DataFrame, list[str], float]:
     """Rates for ``docs``: ``(_mix_row, _id, _tokens, _p, _rate)``, the domains, and the remaining miss.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import fingerprint, language, mixing, neardup, pieces, secrets, sharding, substring
+from sensorframe.llm import fingerprint, forest, language, mixing, neardup, packing, pieces, secrets, sharding, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,12 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf))
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    model = pieces.PieceModel.load(MODEL)
+    encoded = pieces.encode(_documents(spark, sf).select("doc_id", "text"), model)
+    return packing.pack(encoded, length=2048, vocabulary=len(model.pieces))
+
+
 def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.scan(_documents(spark, sf), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] != "random")
@@ -77,6 +83,10 @@ def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_hash_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.neighbours(spark.read.parquet(f"{sf}/embeddings.parquet"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     model = language.fit(language.learnable(docs))
@@ -94,7 +104,9 @@ QUERIES: dict[str, Query] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_fingerprints": op5_fingerprints,
+    "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
+    "op8_hash_forest": op8_hash_forest,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
 }
