@@ -139,7 +139,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 
 def occurrences(codes: np.ndarray, order: np.ndarray, table: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every piece the range of sorted suffixes that begin with it, by binary search."""
-    text = np.concatenate((codes, np.full(table.shape[1], _END, codes.dtype))).astype(np.int64)
+    text = np.concatenate((codes.astype(np.int64), np.full(table.shape[1], -1)))
     pieces, column = table.astype(np.int64), np.arange(table.shape[1])
     inside = column < size[:, None]
 
