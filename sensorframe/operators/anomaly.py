@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import duration_text
+from sensorframe.operators.distribution import principal
 from sensorframe.plans.scan import CHUNK, PART, first_of, last_of, mark_runs, runs, settle, spread, within
 from sensorframe.plans.sizing import Sized, attach, store
 
@@ -188,13 +189,11 @@ def anomaly_table(points: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def pca_reconstruction(train: DataFrame, test: DataFrame, col: str, k: int) -> DataFrame:
     """Restore the vector column ``col`` of ``test`` from the ``k`` main directions of ``train``."""
-    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
 
-    vectors = store(train.select(col))
-    basis = PCA(k=k, inputCol=col, outputCol="_s").fit(vectors).pc.toArray()
-    mean = vectors.agg(Summarizer.mean(F.col(col)).alias("m")).first()["m"].toArray()
+    vectors = store(train.select(vector_to_array(col).alias("x")))
+    _, mean, _, directions = principal(vectors, "x")
+    basis = directions[:, :k]
     project = basis @ basis.T
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

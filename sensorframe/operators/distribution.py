@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import array_mean, array_std
@@ -80,18 +81,41 @@ def outlier_union(df: DataFrame, threshold: float = 7, individual: float = 7, ke
     return flags.filter(F.col("by_mean") | F.col("by_row") | F.col("by_value")).select(key).distinct()
 
 
-def _directions(df: DataFrame, k: int, profile: str):
-    """Principal directions; the fit centres the data itself, in one pass over its covariances."""
-    from pyspark.ml.feature import PCA
+def principal(rows: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Count, mean, variances and directions (columns, largest variance first) of an array column.
 
-    vectors = df.withColumn("_raw", array_to_vector(profile))
-    return PCA(k=k, inputCol="_raw", outputCol="_pc").fit(vectors.select("_raw")), vectors
+    Tasks sum values and products around the first row's values, so that large offsets do not cancel digits;
+    one vector per task is added up, and only d * d numbers reach the driver, whatever the number of rows.
+    """
+    first = rows.select(column).filter(F.col(column).isNotNull()).first()
+    if first is None:
+        raise ValueError("principal directions need a row")
+    origin = np.array(first[0], float)
+    d = len(origin)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 + d + d * d)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy()).astype(float) - origin
+                total += np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
+        yield pd.DataFrame({"part": [0], "s": [total]})
+
+    parts = rows.select(F.col(column).cast("array<double>").alias("x")).filter("x IS NOT NULL").mapInPandas(add, "part int, s array<double>")
+    cells = parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    total = np.zeros(1 + d + d * d)
+    for row in cells.collect():
+        total[row["i"]] = row["v"]
+    n, mean = int(total[0]), total[1 : 1 + d] / total[0]
+    covariance = total[1 + d :].reshape(d, d) / total[0] - np.outer(mean, mean)
+    variances, directions = np.linalg.eigh((covariance + covariance.T) / 2)
+    return n, mean + origin, np.maximum(variances[::-1], 0.0), directions[:, ::-1]
 
 
 def explained_variance(df: DataFrame, k: int = 10, profile: str = "profile") -> DataFrame:
     """Share of variance per principal direction in percent (1 decimal), and its running total."""
-    model, _ = _directions(df, k, profile)
-    percent = np.round(model.explainedVariance.toArray() * 100, 1)
+    _, _, variances, _ = principal(df, profile)
+    percent = np.round(variances[:k] / max(variances.sum(), 1e-300) * 100, 1)
     rows = [(i + 1, float(p), float(c)) for i, (p, c) in enumerate(zip(percent, percent.cumsum()))]
     return df.sparkSession.createDataFrame(rows, "component int, percent double, cumulative double")
 
@@ -101,20 +125,17 @@ def pca_scores(df: DataFrame, k: int = 8, profile: str = "profile", out: str = "
 
     The largest loading of every direction is made positive.  The result column is an array.
     """
-    model, vectors = _directions(df, k, profile)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
-    # the model does not centre what it transforms; the scaling below does
-    moments = model.transform(vectors.select("_raw")).agg(
-        Summarizer.metrics("mean", "variance", "count").summary(F.col("_pc")).alias("m")
-    ).first()["m"]
-    n = moments["count"]
-    deviation = np.sqrt(moments["variance"].toArray() * (n - 1) / n) if n > 1 else np.zeros(k)
-    factor = signs / np.where(deviation > 0, deviation, 1.0)
-    centre, factor = (F.array(*[F.lit(float(x)) for x in v]) for v in (moments["mean"].toArray(), factor))
-    scored = model.transform(vectors).withColumn("_pc", vector_to_array("_pc"))
-    shifted = F.zip_with("_pc", centre, lambda x, m: x - m)
-    return scored.select(*df.columns, F.zip_with(shifted, factor, lambda x, f: x * f).alias(out))
+    _, mean, variances, directions = principal(df, profile)
+    loadings = directions[:, :k]
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    deviation = np.sqrt(variances[:k])
+    matrix = loadings * (signs / np.where(deviation > 0, deviation, 1.0))
+
+    @F.pandas_udf("array<double>")
+    def score(profiles: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else (np.asarray(x, float) - mean) @ matrix for x in profiles], dtype=object)
+
+    return df.withColumn(out, score(F.col(profile).cast("array<double>")))
 
 
 def cluster_profiles(

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from sensorframe.plans.sizing import store
+from sensorframe.plans.sizing import join_same, store
 
 CHUNK = 16_384
 PART = "_chunk"
@@ -77,8 +77,7 @@ def number_rows(
     )
     local = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
     return (
-        df.withColumn(out, local)
-        .join(offsets, [*keys, bucket])
+        join_same(df.withColumn(out, local), offsets, [*keys, bucket])
         .withColumn(out, (F.col("_offset") + F.col(out) - 1).cast("long"))
         .drop("_offset")
     )
@@ -100,8 +99,7 @@ def running_sum(
     )
     w = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.withColumn(out, F.sum(value).over(w))
-        .join(carried, [*keys, bucket])
+        join_same(df.withColumn(out, F.sum(value).over(w)), carried, [*keys, bucket])
         .withColumn(out, F.col("_carry") + F.col(out))
         .drop("_carry")
     )

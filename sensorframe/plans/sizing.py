@@ -36,6 +36,15 @@ class Sized:
         self.rows = self.table.count()
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_same_{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{i}"))
+    return left.join(renamed, on, how).drop(*[f"_same_{i}" for i in range(len(keys))])
+
+
 def attach(
     df: DataFrame,
     side: DataFrame | Sized,
@@ -43,7 +52,7 @@ def attach(
     how: str = "left",
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join a per-key table to ``df``.
+    """Join a per-key table to ``df``; a NULL key meets a NULL key.
 
     ``side`` (one row per key) is computed once and stored, then counted: up to
     ``limit`` rows it is broadcast, so a key that holds most of ``df`` costs no
@@ -54,11 +63,11 @@ def attach(
     side = side if isinstance(side, Sized) else Sized(side)
     side, rows = side.table, side.rows
     if rows <= limit:
-        return df.join(F.broadcast(side), list(keys), how)
+        return join_same(df, F.broadcast(side), keys, how)
     salts = 16
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     spread = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+    return join_same(salted, spread, [*keys, "_salt"], how).drop("_salt")
 
 
 def one_row(df: DataFrame, *cols: Column) -> Column:

@@ -82,13 +82,13 @@ def _(spark, sf):
 @query(
     "cluster_profiles",
     f"""WITH {DISTRIBUTIONS}, p AS (SELECT label, coord, avg(strain) AS mean, stddev_samp(strain) AS std
-      FROM cells WHERE label IN (0, 2, 3, 7) GROUP BY 1, 2),
+      FROM cells GROUP BY 1, 2),
     a AS (SELECT label, avg(std) AS avg_std FROM p GROUP BY label)
     SELECT label, coord, round(mean + 1e-9, 6) + 0.0 AS mean, round(std + 1e-9, 6) AS std, round(mean - std + 1e-9, 6) + 0.0 AS lower,
       round(mean + std + 1e-9, 6) + 0.0 AS upper, round(avg_std + 1e-9, 6) AS avg_std FROM p JOIN a USING (label)""",
 )
 def _(spark, sf):
-    out = distribution.cluster_profiles(distributions(spark, sf), [0, 2, 3, 7], label="label")
+    out = distribution.cluster_profiles(distributions(spark, sf), label="label")
     return out.select(
         "label", F.col("coord").cast("double").alias("coord"),
         *[r6(c).alias(c) for c in ("mean", "std", "lower", "upper", "avg_std")],

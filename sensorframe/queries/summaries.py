@@ -287,11 +287,11 @@ def _(spark, sf):
 
 @query(
     "append_rows",
-    f"""WITH {LISTING} SELECT * FROM listing WHERE hour(ts) = 0 UNION ALL SELECT * FROM listing WHERE hour(ts) = 4""",
+    f"""WITH {LISTING} SELECT * FROM listing WHERE hour(ts) < 12 UNION ALL SELECT * FROM listing WHERE hour(ts) >= 12""",
 )
 def _(spark, sf):
     listing = views.file_listing(spark, sf)
-    return joins.append_rows(listing.filter(F.hour("ts") == 0), listing.filter(F.hour("ts") == 4))
+    return joins.append_rows(listing.filter(F.hour("ts") < 12), listing.filter(F.hour("ts") >= 12))
 
 
 @query(

@@ -188,20 +188,21 @@ def alarm_texts(spark: SparkSession, sf: str) -> DataFrame:
     day = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
     return table(spark, sf, "documents").select(
         (day + F.make_dt_interval(days=F.col("doc_id").cast("int"))).alias("ts"),
-        F.concat_ws(";", "source", "lang").alias("text"),
+        F.concat_ws(" ", F.concat_ws(";", "source", "lang"), "text").alias("text"),
     )
 
 
 ALARM = """
 alarms AS (SELECT TIMESTAMP '2020-01-01' + CAST(doc_id AS INT) * INTERVAL '1' DAY AS ts,
-                  source || ';' || lang AS text FROM documents)"""
+                  concat_ws(' ', concat_ws(';', source, lang), text) AS text FROM documents)"""
 
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """Five labelings of a growing prefix of the profiles."""
+    """Five labelings of a growing share of the profiles; the last holds all of them."""
     base = F.lit("2021-01-01").cast("date")
-    rows = table(spark, sf, "embeddings").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return rows.filter(F.col("vec_id") < 80 * F.col("d")).select(
+    profiles = table(spark, sf, "embeddings")
+    rows = profiles.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    return rows.filter(5 * F.col("vec_id") < profiles.count() * F.col("d")).select(
         F.date_add(base, F.col("d")).alias("snapshot_date"),
         F.col("vec_id").alias("pos"),
         ((F.col("label") + F.col("vec_id") % F.col("d")) % 10).cast("int").alias("cluster"),
@@ -212,7 +213,7 @@ SNAPSHOTS = """
 snapshots AS (
   SELECT DATE '2021-01-01' + CAST(d AS INT) AS snapshot_date, vec_id AS pos,
          CAST((label + vec_id % d) % 10 AS INT) AS cluster
-  FROM embeddings, (SELECT unnest(range(1, 6)) AS d) WHERE vec_id < 80 * d)"""
+  FROM embeddings, (SELECT unnest(range(1, 6)) AS d) WHERE 5 * vec_id < d * (SELECT count(*) FROM embeddings))"""
 
 
 def errors(spark: SparkSession, sf: str) -> DataFrame:

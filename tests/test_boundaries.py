@@ -172,3 +172,26 @@ def test_supports_take_the_nearest_coordinate(spark):
     supports = spark.createDataFrame([("B", "I", 0.4), ("B", "II", 39.0)], "beam string, support string, coord double")
     got = {r["coord"]: r["support"] for r in joins.with_supports(points, supports).collect()}
     assert got == {0.0: "I", 38.0: "II", 40.0: None}
+
+
+def test_null_keys_and_empty_groups_do_not_depend_on_size(spark):
+    """Both arms of numbering and of quantiles keep NULL keys and groups without values."""
+    from sensorframe.functions.quantiles import exact_quantiles
+    from sensorframe.plans.scan import number_by_time
+
+    rows = [(name, k, float(k * 7 % 11) if name != "empty" else None) for name in ("a", None, "empty") for k in range(40)]
+    df = spark.createDataFrame(rows, "sensor string, n int, x double").withColumn("time", F.timestamp_seconds("n"))
+    few = number_by_time(df).select("sensor", "n", "rn").collect()
+    many = number_by_time(df, rows_per_bucket=2).select("sensor", "n", "rn").collect()
+    assert len(few) == 120 and sorted(map(str, few)) == sorted(map(str, many))
+    for keys in (["sensor"], []):
+        exact = exact_quantiles(df, keys, "x", [0.25, 0.5, 0.9]).collect()
+        bracketed = exact_quantiles(df, keys, "x", [0.25, 0.5, 0.9], buffer_rows=5, accuracy=10).collect()
+        assert len(exact) == (3 if keys else 1)
+
+        def plain(found):
+            return {r["sensor"] if keys else None: r["q"] and [round(q, 9) for q in r["q"]] for r in found}
+
+        assert plain(exact) == plain(bracketed)
+    nothing = exact_quantiles(df.filter("sensor = 'empty'"), [], "x", [0.5], buffer_rows=-1).collect()
+    assert len(nothing) == 1 and nothing[0]["q"] is None

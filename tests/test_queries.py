@@ -19,9 +19,7 @@ def test_matches_sql(spark, duck, name):
     assert difference(got, duck.execute(ORACLES[name]).df()) is None
 
 
-@pytest.mark.parametrize(
-    "name", [n for n in QUERIES if n not in ORACLES and n not in ("cluster_sweep", "dpgmm_snapshots")]
-)
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
