@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 #: characters indexed at once, and words remembered by a task
-INDEX_CHARS, CACHE_WORDS = 400_000, 400_000
+INDEX_CHARS, CACHE_WORDS = 800_000, 400_000
 #: longer words are merged by a heap instead of in step with the others
 STEP_CHARS = 48
 _END = 0x110000
@@ -116,48 +117,70 @@ class PieceModel:
         return out
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` values: packed prefixes, then doubling."""
-    symbols, dense = np.unique(codes, return_inverse=True)
-    bits = max(1, int(len(symbols)).bit_length())
-    width = max(1, 63 // bits)
-    padded = np.concatenate((dense + 1, np.zeros(width, dense.dtype))).astype(np.int64)
-    key = np.zeros(len(codes), np.int64)
+def packed(values: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The next ``width`` values of every position in one number; past the end are zeros."""
+    padded = np.concatenate((values, np.zeros(width, np.int64)))
+    key = np.zeros(len(values), np.int64)
     for k in range(width):
-        key = (key << bits) | padded[k : k + len(codes)]
-    order = np.argsort(key, kind="stable")
-    while width < depth:
-        rank = np.empty(len(codes), np.int64)
-        sorted_key = key[order]
-        rank[order] = np.cumsum(np.concatenate(([1], sorted_key[1:] != sorted_key[:-1])))
-        ahead = np.concatenate((rank[width:], np.zeros(min(width, len(codes)), np.int64)))[: len(codes)]
-        key = rank * (len(codes) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        width *= 2
-    return order
-
-
-def occurrences(codes: np.ndarray, order: np.ndarray, table: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every piece the range of sorted suffixes that begin with it, by binary search."""
-    text = np.concatenate((codes.astype(np.int64), np.full(table.shape[1], -1)))
-    pieces, column = table.astype(np.int64), np.arange(table.shape[1])
-    inside = column < size[:, None]
-
-    def bound(after: bool) -> np.ndarray:
-        low, high = np.zeros(len(size), np.int64), np.full(len(size), len(order), np.int64)
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
+        key = (key << bits) | padded[k : k + len(values)]
+    return key
+
+
+@dataclass
+class SuffixArray:
+    """Suffixes of ``codes`` sorted by their first ``depth`` values at least: packed prefixes, then doubling."""
+
+    codes: np.ndarray
+    depth: int
+
+    def __post_init__(self) -> None:
+        self.symbols, dense = np.unique(self.codes, return_inverse=True)
+        self.bits = int(len(self.symbols)).bit_length()
+        self.width = 63 // self.bits
+        n = len(self.codes)
+        key = prefix = packed(dense.astype(np.int64) + 1, self.bits, self.width)
+        order, width = np.argsort(key), self.width
+        while width < self.depth:
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([1], np.diff(key[order]) != 0)))
+            key = rank * (n + 1) + np.concatenate((rank[width:], np.zeros(min(width, n), np.int64)))[:n]
+            order, width = np.argsort(key), 2 * width
+        self.order, self.prefix = order, prefix[order]
+
+    def ranges(self, table: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every row of ``table`` (of ``size`` values) the range of suffixes that begin with it, by binary search.
+
+        Rows that fit into a packed prefix search those; longer ones then search value by value inside the range
+        of their beginning.
+        """
+        at = np.minimum(np.searchsorted(self.symbols, table), len(self.symbols) - 1)
+        inside = np.arange(table.shape[1]) < size[:, None]
+        known = ((self.symbols[at] == table) | ~inside).all(axis=1)
+        dense = np.where(inside, at + 1, 0)
+        key = np.zeros(len(table), np.int64)
+        for k in range(self.width):
+            key = (key << self.bits) | (dense[:, k] if k < table.shape[1] else 0)
+        free = np.maximum(0, self.width - size) * self.bits
+        low = np.searchsorted(self.prefix, key)
+        high = np.searchsorted(self.prefix, key + (np.int64(1) << free))
+        high = np.where(known, high, low)
+        long = np.flatnonzero((size > self.width) & (low < high))
+        if len(long):
+            pieces, column = table[long].astype(np.int64), inside[long]
+            low[long], high[long] = (self._bound(pieces, column, low[long], high[long], after) for after in (False, True))
+        return low, high
+
+    def _bound(self, pieces: np.ndarray, inside: np.ndarray, low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+        text = np.concatenate((self.codes.astype(np.int64), np.full(pieces.shape[1], -1)))
+        column, low, high = np.arange(pieces.shape[1]), low.copy(), high.copy()
+        while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_]) // 2
-            differ = (text[order[middle][:, None] + column] - pieces[open_]) * inside[open_]
-            first = (differ != 0).argmax(axis=1)
-            sign = differ[np.arange(len(open_)), first]
+            differ = (text[self.order[middle][:, None] + column] - pieces[open_]) * inside[open_]
+            sign = differ[np.arange(len(open_)), (differ != 0).argmax(axis=1)]
             right = sign <= 0 if after else sign < 0
             low[open_[right]] = middle[right] + 1
             high[open_[~right]] = middle[~right]
-
-    return bound(False), bound(True)
+        return low
 
 
 class Encoder:
@@ -178,13 +201,14 @@ class Encoder:
         for text in texts:
             body = (text or "").replace(" ", SPACE)
             units.append(model.splitter.findall(SPACE + body if body and model.dummy_prefix else body))
-        fresh = list({w for row in units for w in row} - self.known.keys())
+        met = set(chain.from_iterable(units))
+        fresh = list(met - self.known.keys())
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self._forget()
-            fresh = list({w for row in units for w in row})
+            fresh = list(met)
         self._learn(fresh)
         total = [len(row) for row in units]
-        index = np.fromiter((self.known[w] for row in units for w in row), np.int64, sum(total))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(total))
         size = self.begin[index + 1] - self.begin[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[index] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -212,13 +236,14 @@ class Encoder:
         word = np.repeat(np.arange(len(words)), size)
         at = np.arange(len(word)) + word  # every word is followed by an end mark
         codes[at] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        order = suffix_array(codes, model.longest)
+        index = SuffixArray(codes, model.longest)
+        order = index.order
         table, length = model.codes
-        low, high = occurrences(codes, order, table, length)
+        low, high = index.ranges(table, length)
         count = high - low
         piece = np.repeat(np.arange(len(count)), count)
         where = order[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-        by_position = np.argsort(where, kind="stable")
+        by_position = np.argsort(where)
         piece, where = piece[by_position], where[by_position]
         edge = np.full((len(codes), model.longest), -1, np.int32)  # id of the edge that leaves a position with a length
         edge[where, length[piece] - 1] = model.ids[piece]

@@ -184,8 +184,16 @@ def test_occurrences(seed):
     table = np.zeros((40, 6), np.uint32)
     for row, p in zip(table, found):
         row[: len(p)] = p
-    order = pieces.suffix_array(codes, 6)
-    low, high = pieces.occurrences(codes, order, table, np.array([len(p) for p in found]))
+    codes[::50] = 9
+    if seed == 2:  # many symbols: few of them fit into a packed prefix
+        codes = codes * 100 + rng.integers(0, 3, 300).astype(np.uint32) + np.arange(300, dtype=np.uint32) // 250 * 100_000
+        codes[:250] += 1000
+        found = [codes[k : k + len(p)].astype(np.int64) for k, p in enumerate(found)]
+    for row, p in zip(table, found):
+        row[: len(p)] = p
+    index = pieces.SuffixArray(codes, 6)
+    order = index.order
+    low, high = index.ranges(table, np.array([len(p) for p in found]))
     for p, a, b in zip(found, low, high):
         assert sorted(order[a:b].tolist()) == [i for i in range(300) if codes[i : i + len(p)].tolist() == p.tolist()]
 
