@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorframe.functions.quantiles import exact_quantiles
-from sensorframe.plans.sizing import Sized, attach
+from sensorframe.plans.sizing import Sized, attach, join_same
 
 STEP = "4 hours"
 
@@ -157,9 +157,9 @@ def availability_matrix(listing: DataFrame, start, stop, step: str = STEP) -> Da
 
 def activity_counts(listing: DataFrame, col: str = "file_name") -> DataFrame:
     """Loop x time number of files, 0 where a loop has none at a listed time."""
-    wide = listing.groupBy("ts").pivot(col).count().fillna(0)
-    names = [c for c in wide.columns if c != "ts"]
-    return wide.unpivot("ts", [F.col(f"`{c}`").alias(c) for c in names], col, "n")
+    there = listing.groupBy("ts", col).agg(F.count(F.lit(1)).alias("n"))
+    every = listing.select("ts").distinct().crossJoin(listing.select(col).distinct())  # the cells of the result
+    return join_same(every, there, ["ts", col], "left").fillna(0, ["n"])
 
 
 def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:

@@ -79,9 +79,13 @@ def files_missing(grid: DataFrame, listing: DataFrame, name: str) -> DataFrame:
 
 
 def align_on_time(df: DataFrame, sensors: Sequence[str] | None = None, col: str = "strain") -> DataFrame:
-    """One row per time with a column per sensor (full outer alignment)."""
-    pivot = df.groupBy("time").pivot("sensor", list(sensors) if sensors else None)
-    return pivot.agg(F.min_by(col, "rn"))
+    """One row per time with a column per sensor (full outer alignment).
+
+    The table is as wide as there are sensors; without a list their names are read first.
+    """
+    if sensors is None:
+        sensors = [r[0] for r in df.select("sensor").distinct().orderBy("sensor").collect()]
+    return df.groupBy("time").pivot("sensor", list(sensors)).agg(F.min_by(col, "rn"))
 
 
 def with_supports(points: DataFrame, supports: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ def longest_regions(regions: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def order_by_time(df: DataFrame, time: str = "time") -> DataFrame:
-    return df.orderBy(time)
+    """Rows in time order; equal times are ordered by the other columns."""
+    return df.orderBy(time, *[F.col(f"`{c}`") for c, kind in df.dtypes if c != time and not kind.startswith("map")])
 
 
 def overlapping_regions(regions: DataFrame, min_span: int = 100, size: int = CHUNK) -> DataFrame:

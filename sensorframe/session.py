@@ -15,6 +15,8 @@ def build_session(app: str = "sensorframe", master: str | None = None, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # sessions of a busy sensor are merged in each task before they are shuffled
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # call sites per column expression make plan building several times slower
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorframe import schema
 from sensorframe.functions.columns import finite, is_digits, parse_stamp, part, strip_blanks
-from sensorframe.plans.scan import number_by_time
+from sensorframe.plans.scan import number_rows
 
 
 def _plain(c: Column) -> Column:
@@ -75,7 +75,11 @@ def read_distribution_values(spark: SparkSession, root: str, loop: str) -> DataF
 
 
 def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.csv`` of a folder as readings; the sensor is the file name without its ending."""
+    """All ``*.csv`` of a folder as readings; the sensor is the file name without its ending.
+
+    ``rn`` is the position in the file, also of rows whose time cannot be read.  Files are numbered by
+    block, so a long one is never sorted in one task.
+    """
     rows = spark.read.schema(schema.SERIES_FILE).option("pathGlobFilter", "*.csv").csv(folder, header=True)
     rows = rows.select(
         F.regexp_replace(_file_name(), r"\.csv$", "").alias("sensor"),
@@ -83,8 +87,10 @@ def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
         F.try_to_timestamp(F.col("Time")).alias("time"),
         _number(F.col("Strain")).alias("strain"),
         _number(F.col("Temperature")).alias("temperature"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
     )
-    return number_by_time(rows, ties=["time_index"])
+    return number_rows(rows, ["sensor"], ["_line"], "_block").drop("_block", "_line")
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

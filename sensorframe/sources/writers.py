@@ -28,9 +28,13 @@ def write_counts(counts: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_distribution(df: DataFrame, path: str, wide: bool = False, mode: str = "error") -> None:
-    """Cells ``(ts, coord, strain)`` as parquet, or as a wide matrix CSV with a ``Timestamp`` column."""
+    """Cells ``(ts, coord, strain)`` as parquet, or as a wide matrix CSV with a ``Timestamp`` column.
+
+    The matrix has a column per coordinate, whose list is read first; of repeated cells the smallest is written.
+    """
     if not wide:
         df.write.mode(mode).parquet(path)
         return
     matrix = df.withColumn("Timestamp", F.date_format("ts", "yyyy-MM-dd HHmmss"))
-    matrix.groupBy("Timestamp").pivot("coord").agg(F.first("strain")).write.mode(mode).csv(path, header=True)
+    coords = [r[0] for r in df.select("coord").distinct().orderBy("coord").collect()]
+    matrix.groupBy("Timestamp").pivot("coord", coords).agg(F.min("strain")).write.mode(mode).csv(path, header=True)

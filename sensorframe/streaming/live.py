@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sensorframe.operators.mixture import Mixture, dpgmm_label
+from sensorframe.plans.sizing import store
 from sensorframe.session import shared_folder
 from sensorframe.sources.readers import _snapshot_files, parse_snapshots
 
@@ -116,6 +117,21 @@ def stream_label(df: DataFrame, model: Mixture, features: str = "scores") -> Dat
     return dpgmm_label(df, model, features)
 
 
+def closing(stream: DataFrame, time: str = "time") -> DataFrame:
+    """A bounded replay followed by one row far ahead in time, which closes every window of the replay.
+
+    Apply it before the watermark.  The window of that row stays open, so it is never emitted.
+    """
+    spark = stream.sparkSession
+    ahead = F.lit("9000-01-01 00:00:00")
+    end = store(
+        spark.range(1).select(
+            *[(ahead if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema]
+        )
+    )
+    return stream.unionByName(spark.readStream.schema(end.schema).parquet(end.inputFiles()[0].rsplit("/", 1)[0]))
+
+
 def run_available(stream: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
     """Process everything that is there, append it to a table and return the table.
 

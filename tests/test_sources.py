@@ -56,13 +56,13 @@ def test_distribution_values(spark, snapshots):
 def test_series_csv(spark, tmp_path):
     (tmp_path / "beam one.csv").write_text(
         "Time_index,Time,Strain,Temperature\n20200101040000,2020-01-01 04:00:00,2.5,nan\n"
-        "20200101000000,2020-01-01 00:00:00,,4\nx,never,1,1\n"
+        "x,never,1,1\n20200101000000,2020-01-01 00:00:00,,4\n"
     )
     rows = readers.read_series_csv(spark, str(tmp_path)).orderBy("rn").collect()
-    assert [(r["sensor"], r["strain"], r["temperature"]) for r in rows[1:]] == [
-        ("beam one", None, 4.0), ("beam one", 2.5, None),
+    assert [(r["sensor"], r["rn"], r["strain"], r["temperature"]) for r in rows] == [
+        ("beam one", 0, 2.5, None), ("beam one", 1, 1.0, 1.0), ("beam one", 2, None, 4.0),
     ]
-    assert rows[0]["time"] is None
+    assert [r["time"] is None for r in rows] == [False, True, False]
 
 
 def test_alarm_texts(spark, tmp_path):
