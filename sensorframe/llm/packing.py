@@ -96,7 +96,7 @@ def _block(docs: list[tuple[int | None, int, np.ndarray]], length: int, pad: int
     for part, row in zip(parts, place):
         held[row].append(part)
     matrix = np.full((rows, length), pad, kind)
-    position = np.zeros((rows, length), np.uint32)
+    position = np.zeros((rows, length), np.uint16 if length <= 1 << 16 else np.uint32)
     out = []
     for row, found in enumerate(held):
         ends = np.cumsum([0, *(len(p[3]) for p in found)])
@@ -123,7 +123,7 @@ def pack(
 
     Every returned row is a line of the id matrix: ``ids`` (little-endian ``uint16``, or ``uint32`` from a vocabulary
     above 65,536, padded with ``pad``), ``n_tokens``, ``cu_seqlens`` (0, then the end of every segment), ``position_ids``
-    (``uint32``, 0 again at every segment) and for every segment ``doc_ids``, ``doc_rows`` (a number of the input row, which tells
+    (``uint16``, or ``uint32`` for rows above 65,536; 0 again at every segment) and for every segment ``doc_ids``, ``doc_rows`` (a number of the input row, which tells
     repeated or null ids apart) and ``doc_parts`` (which cut of the document).  Null and empty id lists take no room.
     Other columns are not read.  Results depend on how the input is cut into tasks, as every task packs its own rows.
     """

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 #: characters indexed at once, and words remembered by a task
-INDEX_CHARS, CACHE_WORDS = 800_000, 400_000
+INDEX_CHARS, CACHE_WORDS = 400_000, 250_000
 #: longer words are merged by a heap instead of in step with the others
 STEP_CHARS = 48
 _END = 0x110000
@@ -43,6 +43,8 @@ class PieceModel:
     scores: list[float]
     bpe: bool
     dummy_prefix: bool
+    #: the model file's content for words that bring their own blank mark
+    plain: bytes = b""
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -57,7 +59,9 @@ class PieceModel:
             raise ValueError("only models without text normalisation are supported")
         if kind not in (UNIGRAM, BPE) or USER_DEFINED in kinds or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("model type or pieces not supported")
-        return cls([p.piece for p in model.pieces], kinds, [p.score for p in model.pieces], kind == BPE, norm.add_dummy_prefix)
+        prefix, norm.add_dummy_prefix = norm.add_dummy_prefix, False
+        scores = [p.score for p in model.pieces]
+        return cls([p.piece for p in model.pieces], kinds, scores, kind == BPE, prefix, model.SerializeToString())
 
     @cached_property
     def ids(self) -> np.ndarray:
@@ -349,16 +353,39 @@ class Encoder:
 
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", out: str = "ids", batch_rows: int = 2000) -> DataFrame:
+class LibraryEncoder(Encoder):
+    """The same ids, with new words encoded by the reference library: for uses where encoding is not the point."""
+
+    def __init__(self, model: PieceModel) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        super().__init__(model)
+        self.processor = SentencePieceProcessor(model_proto=model.plain)
+
+    def _graph(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.processor.encode(words, num_threads=1)
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        return ids, np.concatenate(([0], np.cumsum([len(f) for f in found])))
+
+
+def encode(
+    docs: DataFrame,
+    model: PieceModel,
+    text_col: str = "text",
+    out: str = "ids",
+    batch_rows: int = 1000,
+    library: bool = False,
+) -> DataFrame:
     """Add ``out``, the piece ids of the text; all columns and rows stay (an existing ``out`` is replaced).
 
-    A null text gives null, an empty one no ids.  Equal texts give equal ids.
+    A null text gives null, an empty one no ids.  Equal texts give equal ids.  With ``library`` new words are
+    encoded by the reference library instead of the suffix array; the ids are the same.
     """
     docs = docs.drop(out) if out != text_col else docs
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = LibraryEncoder(model) if library else Encoder(model)
         for batch in batches:
             for k in range(0, batch.num_rows, batch_rows):
                 piece = batch.slice(k, batch_rows)

@@ -61,7 +61,7 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     model = pieces.PieceModel.load(MODEL)
-    encoded = pieces.encode(_documents(spark, sf).select("doc_id", "text"), model)
+    encoded = pieces.encode(_documents(spark, sf).select("doc_id", "text"), model, library=True)
     return packing.pack(encoded, length=2048, vocabulary=len(model.pieces))
 
 

@@ -164,6 +164,8 @@ def test_encoding_agrees_with_the_library(docs, model):
     texts = HARD + [t for _, t in corpus() if t is not None]
     ids, begin = pieces.Encoder(model).encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [reference.encode(t) for t in texts]
+    same, starts = pieces.LibraryEncoder(model).encode(texts)
+    assert (same == ids).all() and (starts == begin).all()
     rows = pieces.decode(pieces.encode(docs, model), model)
     assert rows.columns == [*docs.columns, "ids", "decoded"]
     assert rows.filter(~F.col("decoded").eqNullSafe(F.col("text"))).isEmpty()
@@ -226,7 +228,7 @@ def test_packing_loses_nothing(spark, vocabulary):
     packed = packing.pack(df, 64, vocabulary=vocabulary, block_tokens=3000)
     for r in packed.collect():
         ends = r["cu_seqlens"]
-        place = np.frombuffer(r["position_ids"], np.uint32)
+        place = np.frombuffer(r["position_ids"], np.uint16)
         assert ends[0] == 0 and ends[-1] == r["n_tokens"] <= 64 and len(r["ids"]) == 64 * (2 if vocabulary < 65536 else 4)
         assert all(place[a:b].tolist() == list(range(b - a)) for a, b in zip(ends, ends[1:]))
     parts: dict = {}
