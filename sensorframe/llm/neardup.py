@@ -31,6 +31,7 @@ CHUNKS, SYMBOLS = 14, 5
 MOST_APART = 36
 #: shingles of a text are counted in this many cells; the cell-wise minima bound what two texts share
 CELLS = 256
+KEYS = "cid long, keys array<long>, whole array<long>"
 
 
 class Shingler:
@@ -95,7 +96,8 @@ def _signatures(shingle: int):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One 64-bit key per chunk and left-out position."""
+    """One 64-bit key per chunk and left-out position (numbered in its lowest 7 bits), and a hash of every whole chunk."""
+    number = np.arange(CHUNKS * SYMBOLS, dtype=tx.U)
     salts = tx.constants(73, CHUNKS * SYMBOLS).reshape(CHUNKS, SYMBOLS)
     for batch in batches:
         for piece in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
@@ -108,10 +110,15 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for p in rest:
                     packed = (packed << tx.U(16)) | sig[:, :, p]
                 keys[:, :, out] = tx.mix(packed ^ salts[:, out])
-            flat = pa.array(keys.reshape(-1).view(np.int64))
-            width = CHUNKS * SYMBOLS
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * width), flat)
-            yield pa.RecordBatch.from_arrays([piece.column("cid"), lists], ["cid", "keys"])
+            whole = tx.mix(keys[:, :, 0] + tx.mix(sig[:, :, 0] + tx.U(1)))
+            keys = keys.reshape(len(sig), -1) & ~tx.U(127) | number
+            columns = [
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(sig) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1).view(np.int64))
+                )
+                for x in (keys, whole)
+            ]
+            yield pa.RecordBatch.from_arrays([piece.column("cid"), *columns], ["cid", "keys", "whole"])
 
 
 def _sets(shingle: int):
@@ -192,15 +199,23 @@ def _across(
     far = known.select(
         F.col("a").alias("head"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("together")).alias("far")
     )
-    placed = store(placed.join(sized, "cid").join(far, ["head", "cid"], "left").fillna(0.0, ["far"]))
+    wholes = reps.join(asked.select("cid"), "cid", "left_semi").mapInArrow(_keys, KEYS).select("cid", "whole")
+    placed = placed.join(sized.join(wholes, "cid"), "cid").withColumn("at", F.col("key").bitwiseAND(F.lit(127)).cast("int"))
+    placed = store(placed.join(far, ["head", "cid"], "left").fillna(0.0, ["far"]))
     one, two = placed.alias("one"), placed.alias("two")
     differ = F.expr("one.key = two.key AND one.root < two.root AND one.cid <> one.head AND two.cid <> two.head")
     least = F.lit(percent) * (F.col("one.n") + F.col("two.n"))
     fits = F.lit(100 + percent) * F.least("one.m", "two.m") >= least
     cellwise = F.aggregate(F.zip_with("one.cells", "two.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c.cast("int"))
     close = F.abs(F.col("one.far") - F.col("two.far")) <= F.lit(1 - percent / 100 + 1e-9)
+    # a pair that shares several keys is formed under few: none after the first chunk that agrees whole, and one for that
+    early = F.expr(
+        f"NOT exists(zip_with(slice(one.whole, 1, CAST(one.at div {SYMBOLS} AS INT)), slice(two.whole, 1, CAST(one.at div {SYMBOLS} AS INT)), "
+        f"(x, y) -> x = y), z -> z) AND (one.at % {SYMBOLS} = 0 "
+        f"OR element_at(one.whole, 1 + CAST(one.at div {SYMBOLS} AS INT)) <> element_at(two.whole, 1 + CAST(one.at div {SYMBOLS} AS INT)))"
+    )
     pairs = (
-        one.join(two, differ & fits & close & (F.lit(100 + percent) * cellwise >= least))
+        one.join(two, differ & fits & close & early & (F.lit(100 + percent) * cellwise >= least))
         .select(F.least("one.cid", "two.cid").alias("a"), F.greatest("one.cid", "two.cid").alias("b"))
         .distinct()
     )
@@ -234,7 +249,7 @@ def clusters(
         .agg(F.min(order).alias("first"), F.first("sig").alias("sig"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    keys = reps.mapInArrow(_keys, "cid long, keys array<long>").select(F.explode("keys").alias("key"), "cid")
+    keys = reps.mapInArrow(_keys, KEYS).select(F.explode("keys").alias("key"), "cid")
     heads = keys.groupBy("key").agg(F.min("cid").alias("head"), F.max("cid").alias("last")).filter("head < last")
     members = store(keys.join(heads.select("key", "head"), "key"))
     stars = members.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
