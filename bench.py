@@ -31,6 +31,13 @@ HEADLINE = [
     "cluster_transitions",
     "kmeans_clusters",
     "stream_grid_means",
+    "dpgmm_windows",
+    "dpgmm_clusters",
+    "gmm_clusters",
+    "dbscan",
+    "kalman_filter",
+    "cluster_sweep",
+    "reconstruction_error",
 ]
 
 
