@@ -188,9 +188,7 @@ def _(spark, sf):
 
 @query(
     "boxplot_stats",
-    f"""WITH {READINGS}, q AS (SELECT sensor, quantile_cont(temperature, 0.25) AS q25,
-      quantile_cont(temperature, 0.5) AS q50, quantile_cont(temperature, 0.9) AS q75 FROM readings GROUP BY sensor),
-    x AS (SELECT *, temperature BETWEEN q25 - 0.1 * (q75 - q25) AND q75 + 0.1 * (q75 - q25) AS inside
+    f"""WITH {READINGS}, x AS (SELECT *, temperature BETWEEN q25 - 0.1 * (q75 - q25) AND q75 + 0.1 * (q75 - q25) AS inside
       FROM (SELECT sensor, temperature FROM readings WHERE temperature IS NOT NULL) r JOIN (
         SELECT sensor, quantile_cont(temperature, 0.25) AS q25, quantile_cont(temperature, 0.5) AS q50,
         quantile_cont(temperature, 0.75) AS q75 FROM readings GROUP BY sensor) USING (sensor))
