@@ -15,7 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: a language is accepted from this calibrated probability on
 MIN_SCORE = 0.3
 #: expected tokens of a domain after mixing, as a multiple of what is there
-MIX = {"good": 1.0, "poor": 0.5, "toxic": 0.02}
+MIX = {"good": 1.0, "poor": 0.5, "toxic": 0.1}
 
 
 def accept_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
