@@ -311,6 +311,21 @@ def test_neighbours(spark):
     assert forest.neighbours(few.limit(0), lambda i: i % 50 == 0).isEmpty()
 
 
+@pytest.mark.parametrize("n", [1_500, 12_000])
+def test_recall_does_not_depend_on_size(spark, n):
+    x = np.random.default_rng(11).standard_normal((n, 64))
+    df = spark.createDataFrame(list(zip(range(n), x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    asked = range(0, n, 100)
+    score = unit[asked] @ unit.T
+    score[range(len(asked)), asked] = -2
+    want = {(q, i) for q, row in zip(asked, np.argsort(-score, axis=1)[:, :5].tolist()) for i in row}
+    for limits in ({}, {"candidates": 300}, {"candidates": 300, "scan": float("inf")}):
+        got = forest.neighbours(df, lambda i: i % 100 == 0, **limits).collect()
+        assert len(got) == len(want)
+        assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
+
+
 def test_language(spark):
     rng = random.Random(8)
     parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["ster", "und", "ein", "ver"], "cc": ["ção", "nha", "que", "os"]}
