@@ -7,9 +7,11 @@ under short lengths) and of the character classes, the runs above and below the
 and the serial correlation of neighbouring symbols.  The least of them, corrected for their number, is
 uniform for random tokens and close to 0 for words.
 
-Which tokens to report is a false-discovery question: among the tokens of one encoding and length class
-the flat right half of the p-values estimates how many are random, and the threshold is the smallest p-value
-beyond which words make up at most ``rate`` of what is reported.  The histograms cover all rows.
+A token that the battery does not reject is weighed against words: how much likelier are its characters if drawn from its
+encoding than by a fixed model of words, names, paths and numbers (changes of character class, letter frequencies)?  This ratio
+is an e-value of "this is a word", so the step-up rule for e-values over all tokens keeps the expected share of words among the
+reported at ``rate`` as far as the model holds: ``reported`` of ``all`` tokens have a ratio of at least ``all / (rate * reported)``.
+A lone token needs a ratio of ``all / rate`` and no other random token beside it.
 """
 
 from __future__ import annotations
@@ -54,7 +56,17 @@ _VALUE = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENC
 _SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
 _CLASSES = (string.digits, string.ascii_uppercase, string.ascii_lowercase, "+/-_")
 _SHARE = {n: [sum(c in cls for c in alphabet) / len(alphabet) for cls in _CLASSES] for n, alphabet in ENCODINGS.items()}
-BINS = 64
+#: of words: share of each class at the start, and after each class
+_START = (0.05, 0.25, 0.65, 0.05)
+_AFTER = ((0.60, 0.10, 0.10, 0.20), (0.04, 0.45, 0.46, 0.05), (0.02, 0.04, 0.89, 0.05), (0.15, 0.25, 0.55, 0.05))
+_LETTERS = dict(zip("eainsrtoldumhcpgbfvwkyzjqx", (14, 8, 7.5, 7.5, 7, 6.8, 6.8, 6, 4.6, 4.2, 4.2, 2.8, 3, 3.2, 2.2, 2, 1.5, 1.3, 1.2, 1, 0.9, 0.8, 0.7, 0.3, 0.3, 0.3)))
+_CLASS = {c: i for i, cls in enumerate(_CLASSES) for c in cls}
+#: bits of each character within its class: digits and signs alike, letters by frequency
+_BITS = {c: math.log2(len(_CLASSES[i])) for c, i in _CLASS.items()}
+for _c, _n in _LETTERS.items():
+    _BITS[_c] = _BITS[_c.upper()] = -math.log2(0.9 * _n / sum(_LETTERS.values()) + 0.1 / 26)
+#: p-value under which a token has a pattern and is not random; largest ratio told apart, in bits
+LEVEL, MOST = 0.001, 255
 #: share of words tolerated among reported tokens
 RATE = 0.05
 
@@ -112,9 +124,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def length_class(n: int) -> int:
-    """Half octaves of length from 20 on."""
-    return int(2 * math.log2(n / 20))
+def evidence(token: str, name: str) -> float:
+    """Bits by which random characters of encoding ``name`` explain the token better than the model of words does.
+
+    The encoding was picked by looking at the token, which its number of rivals pays for.
+    """
+    classes = [_CLASS[c] for c in token]
+    words = -math.log2(_START[classes[0]]) + sum(map(_BITS.__getitem__, token))
+    words -= sum(math.log2(_AFTER[x][y]) for x, y in zip(classes, classes[1:]))
+    return words - len(token) * math.log2(len(ENCODINGS[name])) - math.log2(len(ENCODINGS))
+
+
+def weigh(token: str) -> int:
+    """Whole bits of evidence up to ``MOST``; -1 for words and for tokens with a pattern."""
+    name, p = battery(token)
+    return max(-1, min(MOST, math.floor(evidence(token, name)))) if p >= LEVEL else -1
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,75 +150,52 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = []
             for m in TOKEN.finditer(text):
                 if not any(a < m.end() and m.start() < b for a, b, _ in base):
-                    name, p = battery(m[0])
-                    tokens.append((m.start(), m.end(), name, length_class(m.end() - m.start()), min(BINS - 1, int(p * BINS))))
+                    tokens.append((m.start(), m.end(), weigh(m[0])))
             rows.append(([(a, b, k) for a, b, k in base], tokens))
         base, tokens = zip(*rows) if rows else ((), ())
         columns = [
             pa.array([[dict(zip(("a", "b", "kind"), s)) for s in x] for x in base], _BASE),
-            pa.array([[dict(zip(("a", "b", "encoding", "size", "bin"), s)) for s in x] for x in tokens], _TOKENS),
+            pa.array([[dict(zip(("a", "b", "bits"), s)) for s in x] for x in tokens], _TOKENS),
         ]
         rest = [c for c in batch.schema.names if c != "_text"]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *columns], [*rest, "base", "tokens"])
 
 
 _BASE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string())]))
-_TOKENS = pa.list_(
-    pa.struct([("a", pa.int64()), ("b", pa.int64()), ("encoding", pa.string()), ("size", pa.int32()), ("bin", pa.int32())])
-)
-_SCHEMA = (
-    "base array<struct<a:long,b:long,kind:string>>, "
-    "tokens array<struct<a:long,b:long,encoding:string,size:int,bin:int>>"
-)
+_TOKENS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())]))
+_SCHEMA = "base array<struct<a:long,b:long,kind:string>>, tokens array<struct<a:long,b:long,bits:int>>"
 
 
-def thresholds(histogram: dict[tuple[str, int], np.ndarray], rate: float = RATE) -> dict[tuple[str, int], int]:
-    """For every encoding and length class the first bin to report; ``BINS`` if none.
-
-    The bins above one half hold random tokens only; twice their count estimates all random tokens.
-    """
-    out = {}
-    for key, counts in histogram.items():
-        half = BINS // 2
-        random = 2.0 * counts[half:].sum() / BINS  # per bin
-        reported = np.cumsum(counts[::-1])[::-1]
-        words = np.maximum(0.0, counts - random)
-        words[half:] = 0.0
-        false = np.cumsum(words[::-1])[::-1]
-        fine = (reported > 0) & (false <= rate * reported) & (random > 0)
-        out[key] = int(np.argmax(fine)) if fine.any() else BINS
-    return out
+def threshold(counts: dict[int, int], rate: float = RATE) -> int:
+    """The fewest bits to report, from the number of tokens by bits; ``MOST + 1`` if none."""
+    total, reported, least = sum(counts.values()), 0, MOST + 1
+    for bits in range(MOST, -1, -1):
+        reported += counts.get(bits, 0)
+        if reported and reported * rate * 2.0**bits >= total:
+            least = bits
+    return least
 
 
 def scan(docs: DataFrame, id_cols: list[str], text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``id_cols`` and ``spans`` (array of ``start, end, kind`` in code points, by start and kind) per row.
 
-    Fixed patterns are always reported; tokens that touch none of them are reported as ``random`` if the
-    battery calls them so.  A null or empty text has no spans; repeated rows are each scanned;
+    Fixed patterns are always reported; tokens that touch none of them are reported as ``random`` if
+    they are no words.  A null or empty text has no spans; repeated rows are each scanned;
     other columns are not read.
     """
     renamed = [F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)]
     narrow = docs.select(*renamed, F.col(text_col).alias("_text"))
     kept = ", ".join(f"`_id{i}` {docs.select(c).dtypes[0][1]}" for i, c in enumerate(id_cols))
     found = store(narrow.mapInArrow(_scan, f"{kept}, {_SCHEMA}"))
-    counted = found.select(F.explode("tokens").alias("t")).groupBy("t.encoding", "t.size", "t.bin").count().collect()
-    histogram: dict[tuple[str, int], np.ndarray] = {}
-    for r in counted:  # encodings * length classes * bins
-        histogram.setdefault((r["encoding"], r["size"]), np.zeros(BINS, np.int64))[r["bin"]] = r["count"]
-    first = thresholds(histogram, rate)
-    pairs = [x for (name, size), b in sorted(first.items()) for x in (F.lit(f"{name}:{size}"), F.lit(b))]
-    limit = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,int>")
-
-    def is_random(t: Column) -> Column:
-        key = F.concat_ws(":", t["encoding"], t["size"].cast("string"))
-        return t["bin"] >= F.coalesce(F.element_at(limit, key), F.lit(BINS))
+    counted = found.select(F.explode("tokens").alias("t")).groupBy("t.bits").count().collect()
+    least = threshold({r["bits"]: r["count"] for r in counted}, rate)
 
     def span(t: Column, kind: Column) -> Column:
         rank = F.array_position(F.lit(list(KINDS)), kind).cast("int")
         return F.struct(t["a"].alias("start"), rank.alias("rank"), t["b"].alias("end"), kind.alias("kind"))
 
     base = F.transform("base", lambda t: span(t, t["kind"]))
-    extra = F.transform(F.filter("tokens", is_random), lambda t: span(t, F.lit("random")))
+    extra = F.transform(F.filter("tokens", lambda t: t["bits"] >= least), lambda t: span(t, F.lit("random")))
     spans = F.transform(
         F.array_sort(F.concat(base, extra)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     )

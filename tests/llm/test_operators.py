@@ -273,6 +273,30 @@ def test_secrets(spark):
     assert clean[0] is None and clean[1] == "" and "deadbeef" not in clean[4] and clean[4].endswith(" tail")
 
 
+def test_random_tokens_are_found_on_their_own(spark):
+    """Every class of secret among words, first many of them and then one."""
+    rng = random.Random(6)
+    syllables = ["and", "the", "ing", "er", "Get", "on", "list", "_", "/", "-", "2024", "VALUE"]
+    words = ["wort " * 3 + "".join(rng.choice(syllables) for _ in range(12)) for _ in range(600)]
+    base62 = secrets.ENCODINGS["base62"]
+    secret = ["key " + "".join(rng.choice(base62) for _ in range(40)) for _ in range(200)]
+
+    def found(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = secrets.scan(df, ["doc_id"]).collect()
+        return {r["doc_id"] for r in rows if any(s["kind"] == "random" for s in r["spans"])}
+
+    got = found(words + secret)
+    assert len([k for k in got if k >= 600]) > 180 and len([k for k in got if k < 600]) <= 0.06 * len(got)
+    worst = sorted(secret, key=lambda t: secrets.battery(t[4:])[1])[20]
+    assert secrets.battery(worst[4:])[1] < 0.5
+    assert found([*words, worst]) == {600} and found([worst]) == {0}
+    for name in ("base32", "base36", "BASE36", "base62", "base64", "base64url"):
+        tokens = ["".join(rng.choice(secrets.ENCODINGS[name]) for _ in range(40)) for _ in range(100)]
+        assert sum(secrets.threshold({secrets.weigh(t): 1, -1: 1000}) <= secrets.MOST for t in tokens) >= 90
+    assert secrets.weigh("aA1" * 12) == secrets.weigh("-" * 40) == -1
+
+
 def test_p_values_are_uniform_for_random_tokens():
     rng = random.Random(9)
     for name in ("hex", "base62", "base64"):
