@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import fingerprint, forest, language, mixing, neardup, packing, pieces, secrets, sharding, substring
+from sensorframe.llm import fingerprint, forest, language, merkle, mixing, neardup, packing, pieces, secrets, sharding, substring, twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,17 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(_documents(spark, sf), 40)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    def tampered(row: dict[str, Column]) -> dict[str, Column]:
+        chosen = F.crc32(row["doc_id"].cast("string").cast("binary")) % 3 == 0
+        return {"text": F.when(chosen, F.translate(row["text"], UPPER, LOWER)).otherwise(row["text"])}
+
+    return merkle.manifest(_documents(spark, sf), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", tampered)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mixing": op2_mixing,
@@ -109,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_hash_forest": op8_hash_forest,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle": twins.MERKLE}
