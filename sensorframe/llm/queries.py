@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import fingerprint, forest, language, merkle, mixing, neardup, packing, pieces, secrets, sharding, substring, twins
+from sensorframe.llm import fingerprint, forest, hardneg, language, merkle, mixing, neardup, packing, pieces, secrets, sharding, substring, twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,12 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(_documents(spark, sf), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", tampered)
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors, F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_mixing": op2_mixing,
@@ -121,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
     "op11_merkle": op11_merkle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op11_merkle": twins.MERKLE}
+ORACLES: dict[str, str] = {"op11_merkle": twins.MERKLE, "op13_hard_negatives": twins.HARD_NEGATIVES}
