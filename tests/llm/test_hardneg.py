@@ -63,10 +63,13 @@ def test_hard_negatives(spark, kind):
 
 
 def test_large_components(spark):
-    rows = [(k, [x, 1.0], k % 2) for k, x in enumerate([2e7, 1.5e7, 1e7, -2e7, 3e7, 1e5] * 4)] + [(50, [2.5e7, -1.0], 0), (100, [1e308, 1.0], 0)]
+    rows = [(k, [x, 1.0], k % 2) for k, x in enumerate([2e6, 1.5e6, 1e6, -2e6, 3e6, 1e4] * 4)] + [(50, [2.5e6, -1.0], 0), (100, [2e5, 1.0], 0)]
     df = spark.createDataFrame([(*r, 1, "") for r in rows], SCHEMA)
     got = hardneg.mine(df, F.col("vec_id") % 50 == 0)
     assert Counter(map(tuple, got.collect())) == plain(rows)
+    huge = spark.createDataFrame([(150, [1e308, 1.0], 0, 1, "")], SCHEMA)
+    got = hardneg.mine(df.union(huge), F.col("vec_id") % 50 == 0).collect()
+    assert max(r["positive_score"] for r in got) == END
 
 
 def test_no_rows(spark):
