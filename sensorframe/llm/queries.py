@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import fingerprint, forest, hardneg, language, merkle, mixing, neardup, packing, pieces, secrets, sharding, substring, twins
+from sensorframe.llm import fingerprint, forest, hardneg, language, lines, merkle, mixing, neardup, packing, pieces, secrets, sharding, substring, twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +109,16 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(_documents(spark, sf), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", tampered)
 
 
+def op12_line_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    field = lines.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.col("quality") == 1)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return lines.judge(docs, field, ["doc_id"]).select(
+        "doc_id", *counts, failed.alias("base_failed"), (~failed & F.col("mostly_content")).alias("kept"), "content_words"
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -127,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
     "op11_merkle": op11_merkle,
+    "op12_line_quality": op12_line_quality,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
