@@ -35,6 +35,12 @@ class Sized:
         self.table = store(df)
         self.rows = self.table.count()
 
+    def renamed(self, names: dict[str, str]) -> Sized:
+        """The same stored table under other column names."""
+        out = object.__new__(Sized)
+        out.table, out.rows = self.table.withColumnsRenamed(names), self.rows
+        return out
+
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which NULL equals NULL; the keys of ``left`` stay."""

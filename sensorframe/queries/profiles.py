@@ -295,14 +295,14 @@ def _(spark, sf):
     return cluster.cluster_sweep(_scores(spark, sf, 4).select("vec_id", "scores"), 3)
 
 
-_EPS, _LEAST = 0.08, 6
+_EPS, _LEAST = 1.1, 3
 
 
 @query(
     "dbscan",
-    f"""WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-    near AS (SELECT a.vec_id AS a, b.vec_id AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM p a JOIN p b
-      ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {_EPS}::DOUBLE * {_EPS}::DOUBLE),
+    f"""WITH RECURSIVE p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM p a JOIN p b
+      ON list_distance(a.x, b.x) <= {_EPS}::DOUBLE),
     core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {_LEAST}),
     walk AS (SELECT id, id AS root FROM core
       UNION SELECT n.b, w.root FROM walk w JOIN near n ON n.a = w.id JOIN core c ON c.id = n.b),
@@ -316,8 +316,7 @@ _EPS, _LEAST = 0.08, 6
     LEFT JOIN ids USING (root)""",
 )
 def _(spark, sf):
-    points = distributions(spark, sf).select("vec_id", F.slice("profile", 1, 2).alias("scores"))
-    return density.dbscan(points, _EPS, _LEAST).select("vec_id", "cluster")
+    return density.dbscan(distributions(spark, sf), _EPS, _LEAST, features="profile").select("vec_id", "cluster")
 
 
 @query("dpgmm_clusters")

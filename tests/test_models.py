@@ -136,16 +136,70 @@ def brute_dbscan(x, eps, least):
     return label
 
 
-@pytest.mark.parametrize("eps,least,dims", [(0.25, 4, 2), (0.6, 8, 3)])
-def test_dbscan_against_all_pairs(spark, eps, least, dims):
+@pytest.mark.parametrize(
+    "eps,least,dims,rows", [(0.25, 4, 2, 1024), (0.25, 4, 2, 8), (0.6, 8, 3, 16), (1.1, 6, 10, 1024), (1.1, 6, 10, 7), (2.2, 6, 40, 16), (0.25, 1, 2, 5)]
+)
+def test_dbscan_against_all_pairs(spark, eps, least, dims, rows):
     rng = np.random.default_rng(5)
     centres = rng.uniform(0, 4, size=(5, dims))
     x = np.concatenate([rng.normal(c, 0.15, size=(40, dims)) for c in centres] + [rng.uniform(0, 4, (40, dims))])
-    x = np.concatenate([x, np.repeat(x[:1], 60, axis=0)])  # one place with many copies
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, scores array<double>")
-    got = density.dbscan(df, eps, least).toPandas().sort_values("vec_id")["cluster"].to_numpy()
+    bridge = centres[0] + (centres[1] - centres[0]) * np.linspace(0, 1, 40)[:, None]
+    x = np.concatenate([x, np.repeat(x[:1], 160, axis=0), bridge, centres[2] + rng.normal(0, 0.01, (300, dims))])
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    odd = [(10_000, None), (10_001, [None] * dims), (10_002, [float("nan")] * dims), (10_003, [float("inf")] * dims)]
+    df = spark.createDataFrame(data + odd, "vec_id long, scores array<double>").repartition(4)
+    got = density.dbscan(df, eps, least, rows=rows).toPandas().sort_values("vec_id")["cluster"].to_numpy()
     want = brute_dbscan(x, eps, least)
-    assert want.max() > 1 and (want == -1).any()
-    assert got.tolist() == want.tolist()
-    with pytest.raises(ValueError):
-        density.dbscan(df.withColumn("scores", F.array_repeat(F.lit(0.0), 9)), eps, least)
+    assert want.max() > 1 and (least == 1 or (want == -1).any())
+    assert got.tolist() == [*want.tolist(), *[-1] * 4]
+
+
+def test_dbscan_on_principal_scores(spark):
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("profile"))
+    for k in (8, 10):
+        scores = distribution.pca_scores(vectors, k)
+        rows = scores.orderBy("vec_id").collect()
+        x = np.array([r["scores"] for r in rows])
+        eps = float(np.quantile(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 0.03))
+        got = density.dbscan(scores, eps, 4).orderBy("vec_id").toPandas()["cluster"]
+        assert got.tolist() == brute_dbscan(x, eps, 4).tolist()
+
+
+def test_dbscan_expands_no_dense_place(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1e-3, (3000, 6)), rng.uniform(-4, 4, (200, 6))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, scores array<double>")
+    points = df.select("vec_id", F.col("scores").alias("_x"))
+    ordered = density._ordered(points, density._extents(points), "vec_id").cache()
+    sizes = []
+    for rows in (20, 5):
+        packed = density._packed(ordered, 6, rows, "vec_id").cache()
+        chunks = packed.count()
+        pairs, whole = density._pairs(packed.select("chunk", "n", "lo", "hi"), chunks, 6, 0.5, 5)
+        settled = density._settled(whole, chunks)
+        assert settled.count() > 0.7 * chunks and settled.select("group").distinct().count() == 1
+        sizes.append(whole.count())
+    assert sizes[1] < 4 * sizes[0] and sizes[1] < chunks**2 / 50  # four times the chunks would make 16 times the pairs
+
+
+@pytest.mark.parametrize("links", [500_000, 40])
+def test_components(spark, links):
+    rng = np.random.default_rng(1)
+    edges = [(k, k + 1) for k in range(0, 150)] + [(200, 300), (300, 250)] + [tuple(map(int, rng.integers(400, 520, 2))) for _ in range(70)]
+    edges = [(max(e), min(e)) if i % 2 else e for i, e in enumerate(edges)]
+    nodes = sorted({x for e in edges for x in e} | {999})
+    label = {n: n for n in nodes}
+    for _ in range(200):
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+    got = density.connected_components(
+        spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "u long, v long"), links
+    )
+    assert dict(map(tuple, got.collect())) == label
+
+
+def test_dbscan_without_rows(spark):
+    df = spark.createDataFrame([(1, None)], "vec_id long, scores array<double>")
+    assert density.dbscan(df, 1.0, 1).first()["cluster"] == -1
+    assert density.dbscan(df.limit(0), 1.0, 1).isEmpty()
