@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import warnings
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions.columns import duration_text
-from sensorframe.operators.distribution import principal
-from sensorframe.plans.scan import CHUNK, PART, first_of, last_of, mark_runs, runs, settle, spread, within
+from sensorframe.operators.subspace import directions, pack, restored
+from sensorframe.plans.scan import CHUNK, PART, first_of, last_of, mark_runs, number_by_sort, runs, settle, spread, within
 from sensorframe.plans.sizing import Sized, attach, store
 
 KEYS = ["sensor"]
@@ -187,24 +186,20 @@ def anomaly_table(points: DataFrame, size: int = CHUNK) -> DataFrame:
     )
 
 
-def pca_reconstruction(train: DataFrame, test: DataFrame, col: str, k: int) -> DataFrame:
-    """Restore the vector column ``col`` of ``test`` from the ``k`` main directions of ``train``."""
-    from pyspark.ml.functions import vector_to_array
+def feature_cells(df: DataFrame, features: Sequence[str], sensors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Horizontal concatenation by row position for any number of sensors.
 
-    vectors = store(train.select(vector_to_array(col).alias("x")))
-    _, mean, _, directions = principal(vectors, "x")
-    basis = directions[:, :k]
-    project = basis @ basis.T
-
-    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["actual"].to_numpy())
-                pdf = pdf.assign(reconstructed=list((x - mean) @ project + mean))
-                yield pdf
-
-    rows = test.select("rn", vector_to_array(col).alias("actual"))
-    return rows.mapInPandas(restore, "rn long, actual array<double>, reconstructed array<double>")
+    Returns cells ``(rn, column, x)``, where ``column`` counts sensors by name and features within a sensor, and the header
+    ``(sensor, _i)``: column ``_i * len(features) + f`` is feature ``f`` of that sensor.  Missing values are 0.  Sensors that are
+    not in a given header are left out.
+    """
+    if sensors is None:
+        sensors = number_by_sort(df.select("sensor").distinct(), [], ["sensor"], "_i").select("sensor", "_i")
+    header = Sized(sensors)
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    rows = attach(df.select("sensor", "rn", values.alias("_x")), header, KEYS, "inner")
+    cells = rows.select("rn", "_i", F.posexplode("_x").alias("_f", "x"))
+    return cells.select("rn", (F.col("_i") * len(features) + F.col("_f")).cast("int").alias("column"), "x"), header.table
 
 
 def reconstruction_error(
@@ -213,36 +208,35 @@ def reconstruction_error(
     features: Sequence[str],
     k: int,
     outputs: Sequence[str] = ("strain",),
+    tolerance: float = 1e-9,
+    passes: int = 100,
 ) -> DataFrame:
     """Absolute error per output sensor after a linear (principal direction) reconstruction.
 
-    Scales both parts on ``train``, joins the sensors by position, learns ``k``
-    directions and scores every test position; columns fit :func:`anomaly_points`.
+    Scales both parts on ``train``, joins the sensors by position (a missing value is 0), learns ``k`` directions
+    and scores every test position; columns fit :func:`anomaly_points`.  Directions are iterated to ``tolerance``, see
+    :mod:`sensorframe.operators.subspace`; a warning tells if ``passes`` over the data did not reach it.
     """
-    from pyspark.ml.feature import VectorAssembler
-
-    sensors = [r[0] for r in train.select("sensor").distinct().orderBy("sensor").collect()]
+    columns = ["sensor", "rn", "time", *features]
+    train, test = (store(df.select(*[c for c in columns if c in df.columns])) for df in (train, test))
     train, test = minmax_scale(train, test, features)
-
-    def wide(df: DataFrame) -> DataFrame:
-        table = concat_features(df, features, sensors)
-        names = [c for c in table.columns if c != "rn"]
-        plain = [f"f{i}" for i in range(len(names))]
-        table = table.toDF("rn", *plain).fillna(0.0)
-        return VectorAssembler(inputCols=plain, outputCol="features").transform(table).select("rn", "features")
-
-    restored = pca_reconstruction(wide(train), wide(test), "features", k)
-    names = [(s, f) for s in sensors for f in features]
-    picked = [
-        F.struct(
-            F.lit(s).alias("sensor"),
-            F.lit(f).alias("feature"),
-            F.col("actual")[i].alias("actual"),
-            F.col("reconstructed")[i].alias("reconstructed"),
-        )
-        for i, (s, f) in enumerate(names)
-        if f in outputs
-    ]
-    tall = restored.select("rn", F.inline(F.array(*picked)))
-    scored = tall.withColumn("error", F.abs(F.col("actual") - F.col("reconstructed")))
+    cells, header = feature_cells(train, features)
+    wide = header.count() * len(features)
+    height = train.agg(F.count_distinct("rn")).first()[0]
+    known = directions(pack(cells, wide), wide, height, k, tolerance, passes)
+    if known.residual > tolerance and known.basis.shape[1] < wide:
+        warnings.warn(f"directions reached a residual of {known.residual:.1e} in {known.passes} passes", stacklevel=2)
+    blocks = pack(feature_cells(test, features, header)[0], wide)
+    cells = restored(blocks, wide, known)
+    wanted = F.array(*[F.lit(f) for f in features])[F.col("column") % len(features)]
+    named = cells.select(
+        "rn",
+        F.call_function("div", "column", F.lit(len(features))).alias("_i"),
+        wanted.alias("feature"),
+        "actual",
+        "reconstructed",
+        F.abs(F.col("actual") - F.col("reconstructed")).alias("error"),
+    ).filter(F.col("feature").isin(list(outputs)))
+    scored = attach(named, header.select("_i", "sensor"), ["_i"], "inner").drop("_i")
+    scored = scored.select("sensor", "rn", "feature", "actual", "reconstructed", "error")
     return scored.join(test.select("sensor", "rn", "time"), ["sensor", "rn"])

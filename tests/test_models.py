@@ -1,10 +1,11 @@
 """Model operators: invariants and separable data."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sensorframe.operators import anomaly, cluster, density, distribution, mixture
+from sensorframe.operators import anomaly, cluster, density, distribution, mixture, subspace
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +117,58 @@ def test_reconstruction_is_exact_with_all_directions(spark):
     assert whole.agg(F.max("error")).first()[0] < 1e-9 < part.agg(F.max("error")).first()[0]
 
 
+def plain_reconstruction(train, test, k):
+    """Errors by a full decomposition; both are (rows, sensors, features) with missing values as 0 after scaling."""
+    x, y = (m.reshape(len(m), -1) for m in (train, test))
+    centred = x - x.mean(axis=0)
+    v = np.linalg.svd(centred, full_matrices=False)[2][:k].T
+    return np.abs((y - x.mean(axis=0)) @ v @ v.T + x.mean(axis=0) - y).reshape(test.shape)
+
+
+@pytest.mark.parametrize("sensors,rows,k", [(3, 80, 2), (40, 60, 3), (400, 90, 5)])
+def test_reconstruction_against_full_decomposition(spark, sensors, rows, k):
+    rng = np.random.default_rng(sensors)
+    signal = rng.normal(size=(rows, k + 2)) * 3.0 ** -np.arange(k + 2)
+    x = np.einsum("tk,ksf->tsf", signal, rng.normal(size=(k + 2, sensors, 2))) + rng.normal(size=(rows, sensors, 2)) * 0.05
+    gone = rng.random((rows, sensors, 2)) < 0.1
+    data = [
+        (f"s{s:05d}", t, None, *[None if gone[t, s, f] else float(x[t, s, f]) for f in (0, 1)])
+        for t in range(rows) for s in range(sensors) if t % 7 or s % 3
+    ]
+    df = spark.createDataFrame(data, "sensor string, rn bigint, time timestamp, strain double, temperature double")
+    cut = rows * 2 // 3
+    train, test = df.filter(F.col("rn") < cut), df.filter(F.col("rn") >= cut)
+    got = anomaly.reconstruction_error(train, test, ["strain", "temperature"], k, outputs=["strain", "temperature"]).toPandas()
+
+    held = np.array([[t % 7 or s % 3 for s in range(sensors)] for t in range(rows)], bool)[:, :, None]
+    seen = np.where(gone | ~held, np.nan, x)
+    low, high = np.nanmin(seen[:cut], axis=0), np.nanmax(seen[:cut], axis=0)
+    scaled = np.nan_to_num((seen - low) / (high - low))
+    want = plain_reconstruction(scaled[:cut], scaled[cut:], k)
+    assert len(got) == 2 * held[cut:].sum()
+    f = got["feature"].map({"strain": 0, "temperature": 1}).to_numpy()
+    s = got["sensor"].str[1:].astype(int).to_numpy()
+    np.testing.assert_allclose(got["error"], want[got["rn"] - cut, s, f], atol=1e-6)
+
+
+def test_directions_of_very_many_columns(spark):
+    rng = np.random.default_rng(4)
+    columns, rows, k = 30_000, 60, 3
+    x = rng.normal(size=(rows, k)) * [9, 5, 3] @ rng.normal(size=(k, columns)) + rng.normal(size=(rows, columns))
+    x[rng.random(x.shape) < 0.8] = 0
+    at = np.argwhere(x)
+    frame = pd.DataFrame({"rn": at[:, 0], "column": at[:, 1], "x": x[at[:, 0], at[:, 1]]})
+    blocks = subspace.pack(spark.createDataFrame(frame).repartition(8), columns)
+    known = subspace.directions(blocks, columns, rows, k)
+    u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    np.testing.assert_allclose(known.variances, s[:k] ** 2 / rows, rtol=1e-8)
+    np.testing.assert_allclose(np.abs((known.basis * v[:k].T).sum(axis=0)), 1, atol=1e-8)
+    assert known.residual < 1e-8 and abs(known.total - (s**2).sum() / rows) < 1e-6 * known.total
+    shown = subspace.restored(blocks, columns, known).toPandas()
+    again = (x - x.mean(axis=0)) @ v[:k].T @ v[:k] + x.mean(axis=0)
+    np.testing.assert_allclose(shown["reconstructed"], again[shown["rn"], shown["column"]], atol=1e-6)
+
+
 def brute_dbscan(x, eps, least):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     near = d <= eps
