@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorframe.functions.quantiles import exact_quantiles
-from sensorframe.plans.sizing import Sized, attach, join_same
+from sensorframe.plans.scan import number_by_sort
+from sensorframe.plans.sizing import Sized, attach, join_same, store
 
 STEP = "4 hours"
 
@@ -96,54 +97,97 @@ def boxplot_stats(df: DataFrame, col: str = "strain", reach: float = 1.5) -> Dat
     )
 
 
-def pairwise_correlation(df: DataFrame, by: str = "time", col: str = "strain") -> DataFrame:
+#: sensors of a block, cells of a part of the moments, moments of one product
+BLOCK, CELLS, SLICE = 256, 2_000_000, 4_096
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def _products(block: int) -> Callable[[pa.Table], pa.Table]:
+    """Sums over the moments that two blocks of sensors share, for every pair of sensors with a shared moment."""
+
+    def side(table: pa.Table, of: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        row = table.column("own").to_pylist().index(of)
+        t, i, v = (table.column(c).combine_chunks()[row].values for c in ("t", "i", "v"))
+        return t, i.to_numpy(zero_copy_only=False) - of * block, v.to_numpy(zero_copy_only=False)
+
+    def dense(rows: np.ndarray, of: np.ndarray, values: np.ndarray, low: int, n: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(*np.searchsorted(rows, [low, low + n]))
+        x, m = np.zeros((n, wide)), np.zeros((n, wide))
+        x[rows[at] - low, of[at]], m[rows[at] - low, of[at]] = values[at], 1.0
+        return x, m
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
+        (ta, ia, va), (tb, ib, vb) = side(table, a), side(table, b)
+        codes = pa.concat_arrays([ta, tb]).dictionary_encode().indices.to_numpy()
+        ca, cb = codes[: len(ta)], codes[len(ta) :]
+        shared = np.intersect1d(ca, cb) if a != b else np.flatnonzero(np.bincount(ca) > 0)
+        sides = []
+        for c, i, v in ((ca, ia, va), (cb, ib, vb)):
+            keep = np.flatnonzero(np.isin(c, shared))
+            order = keep[np.argsort(c[keep], kind="stable")]
+            sides.append((np.searchsorted(shared, c[order]), i[order], v[order]))
+        wide, high = (int(i.max()) + 1 for i in (ia, ib))
+        total = np.zeros((6, wide, high))
+        for low in range(0, len(shared), SLICE):
+            n = min(SLICE, len(shared) - low)
+            (x, m), (y, o) = dense(*sides[0], low, n, wide), dense(*sides[1], low, n, high)
+            total += np.stack([m.T @ o, x.T @ o, m.T @ y, (x * x).T @ o, m.T @ (y * y), x.T @ y])
+        i, j = np.nonzero(np.triu(total[0]) if a == b else total[0])
+        out = [pa.array(i + a * block, pa.int64()), pa.array(j + b * block, pa.int64()), *[pa.array(s[i, j]) for s in total]]
+        return pa.table(out, names=["i", "j", *_SUMS])
+
+    return run
+
+
+def pairwise_correlation(
+    df: DataFrame, by: str = "time", col: str = "strain", block: int = BLOCK, cells: int = CELLS
+) -> DataFrame:
     """Pearson correlation of every pair of sensors over the moments where both are present.
 
-    Each task turns its moments into a matrix and adds up products, so what leaves a
-    task is one row per pair and not one per pair and moment.  Values are taken
-    relative to the sensor's mean, which keeps the sums small.
+    Sensors are numbered and cut into blocks, moments are dealt into parts.  The cells of a block and part are packed into one
+    row, which is copied once per block of the result; two such rows give one product matrix of ``block`` x ``block`` sums, so no
+    task holds more than that, whatever the number of sensors, and what leaves a task is one row per pair and not one per
+    pair and moment.  Values are taken relative to the sensor's mean, which keeps the sums small.
     """
-    present = df.filter(F.col(col).isNotNull())
-    means = present.groupBy("sensor").agg(F.avg(col).alias("_m"))
-    # as many names as the result has rows and columns
-    means = Sized(means.withColumn("_i", (F.row_number().over(Window.orderBy("sensor")) - 1).cast("int")))
-    k = means.rows
-    centred = attach(present, means, ["sensor"], "inner")
-    moments = centred.groupBy(by).agg(
-        F.collect_list(F.struct("_i", (F.col(col) - F.col("_m")).alias("v"))).alias("_row")
-    ).select(F.transform("_row", lambda c: c["_i"]).alias("_i"), F.transform("_row", lambda c: c["v"]).alias("_v"))
-    block = max(1, 4_000_000 // max(k, 1))
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, k, k))
-        for pdf in batches:
-            for begin in range(0, len(pdf), block):
-                part = pdf.iloc[begin : begin + block]
-                at = np.repeat(np.arange(len(part)), part["_i"].map(len).to_numpy())
-                of = np.concatenate(part["_i"].to_numpy())
-                x, m = np.zeros((len(part), k)), np.zeros((len(part), k))
-                x[at, of], m[at, of] = np.concatenate(part["_v"].to_numpy()), 1.0
-                # count, sum a, sum b, sum aa, sum bb, sum ab over moments with both present
-                total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        i, j = np.nonzero(np.triu(total[0]))
-        out = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32")})
-        for position, c in enumerate(("n", "sa", "sb", "saa", "sbb", "sab")):
-            out[c] = total[position, i, j]
-        yield out
-
-    parts = moments.mapInPandas(
-        sums, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
+    present = df.filter(F.col(col).isNotNull() & F.col(by).isNotNull())
+    means = present.groupBy("sensor").agg(F.avg(col).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    means = Sized(number_by_sort(means, [], ["sensor"], "_i"))
+    blocks = -(-means.rows // block)
+    parts = max(1, -(-int(means.table.agg(F.sum("_n")).first()[0] or 0) // cells))
+    kind = dict(df.dtypes)[by]
+
+    def pack(table: pa.Table) -> pa.Table:
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table[c].combine_chunks()) for c in ("t", "i", "v")]
+        return pa.table([table["part"][:1], table["own"][:1], *lists], names=["part", "own", "t", "i", "v"])
+
+    centred = attach(present, means, ["sensor"], "inner").select(
+        F.pmod(F.xxhash64(by), F.lit(parts)).cast("int").alias("part"),
+        F.call_function("div", F.col("_i"), F.lit(block)).alias("own"),
+        F.col(by).alias("t"),
+        F.col("_i").alias("i"),
+        (F.col(col) - F.col("_m")).cast("double").alias("v"),
     )
-    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    schema = f"part int, own long, t array<{kind}>, i array<long>, v array<double>"
+    packed = centred.groupBy("part", "own").applyInArrow(pack, schema)
+    if blocks > 1:
+        packed = store(packed)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks - 1, 0)).cast("long")))
+    met = packed.withColumn("_q", other).select(
+        "*", F.least("own", "_q").alias("a"), F.greatest("own", "_q").alias("b")
+    ).drop("_q")
+    both = F.count(F.lit(1)).over(Window.partitionBy("part", "a", "b"))  # at most two rows
+    met = met.withColumn("_both", both).filter((F.col("_both") == 2) | (F.col("a") == F.col("b"))).drop("_both")
+    sums = met.groupBy("part", "a", "b").applyInArrow(_products(block), "i long, j long, " + ", ".join(f"{c} double" for c in _SUMS))
+    s = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
     n = F.col("n")
     spread_a = n * F.col("saa") - F.col("sa") * F.col("sa")
     spread_b = n * F.col("sbb") - F.col("sb") * F.col("sb")
     shared = n * F.col("sab") - F.col("sa") * F.col("sb")
     corr = F.when((spread_a > 0) & (spread_b > 0), shared / (F.sqrt(spread_a) * F.sqrt(spread_b)))
-    names = means.table.select("_i", "sensor")
     s = s.select("i", "j", n.cast("long").alias("n"), corr.alias("corr"))
-    s = s.join(names.select(F.col("_i").alias("i"), F.col("sensor").alias("sensor_a")), "i")
-    s = s.join(names.select(F.col("_i").alias("j"), F.col("sensor").alias("sensor_b")), "j")
+    for index, name in (("i", "sensor_a"), ("j", "sensor_b")):
+        s = attach(s, means.renamed({"_i": index, "sensor": name}), [index], "inner").drop("_m", "_n")
     return s.select("sensor_a", "sensor_b", "n", "corr")
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,23 @@ def test_null_keys_and_empty_groups_do_not_depend_on_size(spark):
         assert plain(exact) == plain(bracketed)
     nothing = exact_quantiles(df.filter("sensor = 'empty'"), [], "x", [0.5], buffer_rows=-1).collect()
     assert len(nothing) == 1 and nothing[0]["q"] is None
+
+
+def test_correlation_of_very_many_sensors(spark):
+    rng = np.random.default_rng(8)
+    sensors, moments = 5_000, 6
+    x = rng.normal(size=(moments, sensors))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    at = np.argwhere(~np.isnan(x))
+    frame = pd.DataFrame({"time": at[:, 0], "sensor": [f"s{j:04d}" for j in at[:, 1]], "strain": x[at[:, 0], at[:, 1]]})
+    found = explore.pairwise_correlation(spark.createDataFrame(frame).repartition(8)).cache()
+    present = (~np.isnan(x)).astype(float)
+    shared = present.T @ present
+    assert found.count() == (np.count_nonzero(shared) + np.count_nonzero(np.diag(shared))) // 2
+    for r in found.filter("hash(sensor_a, sensor_b) % 50000 = 0").collect():
+        i, j = int(r["sensor_a"][1:]), int(r["sensor_b"][1:])
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert r["n"] == both.sum() and i <= j
+        if both.sum() > 2 and i != j:
+            assert abs(r["corr"] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    found.unpersist()

@@ -277,6 +277,9 @@ def test_attach_beyond_the_broadcast_limit(data):
 def test_correlation(data):
     pdf, df = data
     got = explore.pairwise_correlation(df).toPandas()
+    blocked = explore.pairwise_correlation(df, block=2, cells=50).toPandas()
+    keys = ["sensor_a", "sensor_b"]
+    pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), blocked.sort_values(keys, ignore_index=True))
     wide = pdf.pivot(index="time", columns="sensor", values="strain").astype(float)
     for r in got.itertuples():
         both = wide[[r.sensor_a, r.sensor_b]].dropna() if r.sensor_a != r.sensor_b else wide[[r.sensor_a]].dropna()
