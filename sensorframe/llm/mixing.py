@@ -4,44 +4,47 @@ A classifier learned from a labelled table gives every document a posterior over
 document then gets a nonnegative rate (expected number of copies) such that the expected
 tokens of every domain meet a target: least squares over the rates, solved by projected gradient.
 
-Minimised is ``sum_k (S_k - T_k)**2 / D_k`` with ``S_k = sum_i rate_i * tokens_i * p_ik`` and ``D_k`` the natural
-total of domain k.  In the metric that weighs a document by its tokens the step length 1 is
-safe: the Hessian has row sums of one.  An iteration reads one summed row (K numbers) to
-the driver; rates stay with the documents.
+Minimised is the squared distance of the sums ``S_k = sum_i rate_i * tokens_i * p_ik`` from the targets ``T_k``.  Its gradient for
+a document is its posterior times ``S - T``; in the metric of the documents whose rate is positive (their
+posteriors' K x K overlap, weighted by tokens) one step would meet the targets, were it not for the projection to rates from 0 on, so
+few steps are needed.  A step reads one row of sums to the driver.  It changes a rate by an amount that the
+posterior alone decides, so the rates of any table follow from its texts, the word model and the steps: applying
+them needs no join and moves no text.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.plans.sizing import store
 
-#: words are hashed to this many buckets, which bounds the model's size
-BUCKETS = 1 << 14
+#: telling words of the model at most (those that tell most), and slots of the table in which they are looked up
+WORDS, SLOTS = 512, 1 << 16
 #: labelled rows the classifier is fitted on, for each domain (about; rows are picked by a hash of the id)
 FIT_ROWS = 2000
 #: beyond this many words, evidence is averaged, so that long texts keep soft posteriors
 EVIDENCE = 200
-#: iterations whose steps are recomputed from one stored table
+#: chi-squared and factor between two domains' shares from which a word tells something
+TELLING, FACTOR = 30.0, 4.0
+#: steps whose rates are recomputed from one stored table
 FUSED = 8
 
-ROW = "_mix_row"
-TIMES = "_mix_times"
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
-def _occurrences(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per word occurrence: the kept columns and the word's bucket."""
-    tokens = F.explode(F.split(F.lower("_text"), SEPARATOR))
-    exploded = docs.select(*keep, tokens.alias("_word")).filter("_word <> ''")
-    return exploded.select(*keep, F.pmod(F.xxhash64("_word"), F.lit(BUCKETS)).cast("int").alias("_b"))
+def _words(text: Column) -> Column:
+    """The words of a text; a separator at either end leaves an empty one there."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR)
 
 
-def _fit_rows(labels: DataFrame, fit_rows: int) -> tuple[DataFrame, list[str]]:
-    """About ``fit_rows`` ids of every domain, and the domains in order."""
+def _fit_rows(labels: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """About ``fit_rows`` ids of every domain, and the number of labelled ids per domain, in order."""
     labels = labels.filter("_id IS NOT NULL AND _domain IS NOT NULL").distinct()
     counts = {r["_domain"]: r["count"] for r in labels.groupBy("_domain").count().collect()}
     domains = sorted(counts)
@@ -49,111 +52,180 @@ def _fit_rows(labels: DataFrame, fit_rows: int) -> tuple[DataFrame, list[str]]:
     for domain in domains:
         share = F.when(F.col("_domain") == domain, F.lit(fit_rows / counts[domain])).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labels.filter(draw < share), domains
+    return labels.filter(draw < share), {d: counts[d] for d in domains}
 
 
-def word_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[str]]:
-    """Multinomial naive Bayes over word buckets: ``(_b, w0, w1, ...)`` log-likelihoods per domain.
+@dataclass
+class WordModel:
+    """Naive Bayes of domains: log of their shares of the labelled documents, and log-likelihoods of telling and of all other words.
 
-    ``docs`` has ``_id, _text``; ``labels`` has ``_id, _domain``.  The fit uses about ``fit_rows`` labelled
-    documents per domain, a size-bounded table that is broadcast; the model has at most ``BUCKETS`` rows.
+    Likelihoods are relative to a word's overall share.  Telling words are known by their 64-bit hashes.
     """
-    picked, domains = _fit_rows(labels, fit_rows)
-    picked = store(picked)
-    fitted = docs.join(F.broadcast(picked), "_id").select("_domain", "_text")
-    counts = _occurrences(fitted, ["_domain"]).groupBy("_b").pivot("_domain", domains).count() if domains else None
-    if counts is None:
-        return docs.sparkSession.createDataFrame([], "_b int"), []
-    counts = store(counts.fillna(0))
-    totals = counts.agg(*[F.sum(F.col(f"`{d}`")).alias(f"t{i}") for i, d in enumerate(domains)]).first()
-    weights = [
-        F.log((F.col(f"`{d}`") + 1.0) / F.lit(float((totals[i] or 0) + BUCKETS))).alias(f"w{i}") for i, d in enumerate(domains)
-    ]
-    return store(counts.select("_b", *weights)), domains
-
-
-def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, list[str]]:
-    """Add ``_tokens`` (words) and ``_p`` (posterior array in the order of the returned domains) to the rows of ``docs``.
-
-    Rows with the same id and text are one row with their tokens added up.  A text without words gets equal shares; without labels there is
-    no domain and ``_p`` is empty.
+
+    domains: list[str]
+    prior: list[float]
+    plain: list[float]
+    hashes: list[int]
+    weights: list[list[float]]
+
+
+def word_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> WordModel:
+    """Multinomial naive Bayes over words.
+
+    A word whose counts differ between domains by no more than chance (chi-squared up to ``TELLING``), or by less than ``FACTOR``,
+    tells nothing beyond the domain's share of such words: chance differences of many rare words, and small ones of common words
+    that go with the language, would otherwise outweigh the few words that matter.  Equal texts are fitted on once.  At most ``WORDS`` telling words are kept; of two in one slot of the lookup table the more telling one.
+
+    ``docs`` has ``_id, _text``; ``labels`` has ``_id, _domain``.  The fit uses about ``fit_rows`` labelled documents per
+    domain, a size-bounded table that is broadcast.
     """
-    model, domains = word_model(docs, labels, fit_rows)
-    k = len(domains)
-    if not k:
-        counted = _occurrences(docs, [ROW]).groupBy(ROW).agg(F.count(F.lit(1)).alias("_tokens"))
-        return counted.select(ROW, F.col(f"{ROW}.id").alias("_id"), "_tokens", F.array().cast("array<double>").alias("_p")), domains
-    scored = (
-        _occurrences(docs, [ROW])
-        .join(F.broadcast(model), "_b", "left")
-        .groupBy(ROW)
-        .agg(F.count(F.lit(1)).alias("_tokens"), *[F.sum(f"w{i}").alias(f"l{i}") for i in range(k)])
-    )
-    shrink = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.col("_tokens"))
-    top = F.greatest(*[F.col(f"l{i}") for i in range(k)]) if k > 1 else F.col("l0")
-    parts = [F.exp((F.coalesce(f"l{i}", F.lit(0.0)) - F.coalesce(top, F.lit(0.0))) * shrink) for i in range(k)]
-    scored = scored.select(ROW, "_tokens", F.array(*parts).alias("_e"))
-    total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    scored = scored.select(ROW, "_tokens", F.transform("_e", lambda x: x / total).alias("_p"))
-    even = F.array(*[F.lit(1.0 / k)] * k)
-    out = docs.select(ROW, "_id").distinct().join(scored, ROW, "left")
-    return (
-        out.withColumn("_tokens", F.coalesce("_tokens", F.lit(0).cast("long"))).withColumn("_p", F.coalesce("_p", even)),
-        domains,
-    )
-
-
-def fit_rates(
-    members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_iter: int = 300
-) -> tuple[DataFrame, float]:
-    """Add ``_rate`` to ``(_tokens, _p, ...)`` and return the largest remaining miss, as a share of all targets.
-
-    Starts from rate 1 everywhere and takes steps of length 1, which never overshoot, so documents of domains that
-    are on target stay near 1.  Stops when the miss is at most ``tolerance`` or has hardly fallen for five steps
-    (targets out of reach); the rates with the least miss are returned.
+    picked, labelled = _fit_rows(labels, fit_rows)
+    domains = list(labelled)
+    if not domains:
+        return WordModel([], [], [], [], [])
+    fitted = docs.join(F.broadcast(store(picked)), "_id").dropDuplicates(["_domain", "_text"]).select("_domain", F.explode(_words(F.col("_text"))).alias("_w"))
+    counts = fitted.filter("_w <> ''").groupBy(F.xxhash64("_w").alias("_h")).pivot("_domain", domains).count().fillna(0)
+    counts = store(counts.toDF("_h", *[f"c{i}" for i in range(len(domains))]))
+    columns = [F.col(f"c{i}") for i in range(len(domains))]
+    totals = [float(x or 0.0) for x in counts.agg(*[F.sum(c) for c in columns]).first()]
+    everywhere, whole = sum(columns, F.lit(0)), max(sum(totals), 1.0)
+    expected = [everywhere * F.lit(t / whole) for t in totals]
+    chance = sum((F.when(e > 0, (c - e) * (c - e) / e).otherwise(0.0) for c, e in zip(columns, expected)), F.lit(0.0))
+    rates = [(c + 1) / (t + 1) for c, t in zip(columns, totals)]
+    apart = F.greatest(*rates) / F.least(*rates) >= FACTOR if len(rates) > 1 else F.lit(False)
+    found = counts.withColumn("_chi", chance).filter((F.col("_chi") > TELLING) & apart).orderBy(F.desc("_chi"), "_h").limit(WORDS).collect()
+    taken: dict[int, list[float]] = {}
+    for row in found:
+        if row["_h"] % SLOTS not in {h % SLOTS for h in taken}:
+            taken[row["_h"]] = [float(row[f"c{i}"]) for i in range(len(domains))]
+    rest = [t - sum(c[i] for c in taken.values()) for i, t in enumerate(totals)]
+    free = [t + 1 + len(taken) for t in totals]
+    plain = [math.log((r + 1) / f) for r, f in zip(rest, free)]
+    calm = max(sum(rest) / whole, 1e-300)
+    weights = [[math.log((x + 1) / f / (sum(c) / whole) * calm) for x, f in zip(c, free)] for c in taken.values()]
+    prior = [math.log(n / sum(labelled.values())) for n in labelled.values()]
+    return WordModel(domains, prior, plain, list(taken), weights)
+
+
+def _constant(values: list, kind: str) -> Column:
+    """An array that the optimizer makes a constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def _membership(text: Column, model: WordModel) -> Column:
+    """Number of words ``n`` and posterior array ``p`` of a text, from the text alone.
+
+    A text without words gets the domains' overall shares; without domains the array is empty.
     """
-    k = len(targets)
-    table = store(members.withColumn("_rate", F.lit(1.0)))
-    weight = [F.col("_tokens") * F.col("_p")[i] for i in range(k)]
+    k, words = len(model.domains), _words(text)
+    ends = F.when(F.element_at(words, -1) == "", 1).otherwise(0) + F.when((F.size(words) > 1) & (F.get(words, F.lit(0)) == ""), 1).otherwise(0)
+    n = (F.size(words) - ends).cast("long").alias("n")
+    if not k:
+        return F.struct(n, F.array().cast("array<double>").alias("p"))
+    places = [0] * SLOTS  # place 0 is no word
+    for i, h in enumerate(model.hashes):
+        places[h % SLOTS] = i + 1
+    slots, hashes = _constant(places, "int"), _constant([0, *model.hashes], "long")
+    weights = [_constant([0.0, *[w[i] - model.plain[i] for w in model.weights]], "double") for i in range(k)]
 
-    def summed(rows: DataFrame, rate: Column) -> list[float]:
-        return [float(x or 0.0) for x in rows.agg(*[F.sum(rate * w) for w in weight]).first()] if k else []
+    def place(word: Column) -> Column:
+        return F.get(slots, F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int"))
 
-    rate = F.col("_rate")
-    natural = summed(table, rate)
-    if not k or not sum(natural):
-        return table, 0.0
-    scale = max(sum(targets), 1e-12)
+    told = F.transform(F.filter(words, lambda w: F.get(hashes, place(w)) == F.xxhash64(w)), place) if model.hashes else F.array().cast("array<int>")
+    start = F.struct(n, *[F.lit(0.0).alias(f"l{i}") for i in range(k)])
 
-    def pulls(sums: list[float]) -> list[float]:
-        return [(s - t) / d if d > 0 else 0.0 for s, t, d in zip(sums, targets, natural)]
+    def add(total: Column, at: Column) -> Column:
+        return F.struct(total["n"].alias("n"), *[(total[f"l{i}"] + F.get(weights[i], at)).alias(f"l{i}") for i in range(k)])
 
-    def missed(sums: list[float]) -> float:
-        return max(abs(s - t) for s, t in zip(sums, targets)) / scale
+    def shares(total: Column) -> Column:
+        shrink = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(total["n"], F.lit(1)))
+        logs = [(total[f"l{i}"] + total["n"] * model.plain[i]) * shrink + F.lit(model.prior[i]) for i in range(k)]
+        top = F.greatest(*logs) if k > 1 else logs[0]
+        parts = F.array(*[F.exp(x - top) for x in logs])
+        whole = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        return F.struct(total["n"].alias("n"), F.transform(parts, lambda x: x / whole).alias("p"))
 
-    sums, fused, since = natural, 0, 0
-    best = (missed(sums), table, rate)
-    for _ in range(max_iter):
-        if best[0] <= tolerance or since >= 5:
-            break
-        slope = sum((F.col("_p")[i] * F.lit(g) for i, g in enumerate(pulls(sums))), F.lit(0.0))
-        rate, fused = F.greatest(F.lit(0.0), rate - slope), fused + 1
-        sums = summed(table, rate)
-        since = 0 if missed(sums) < best[0] * (1 - 1e-3) else since + 1
-        if missed(sums) < best[0]:
-            best = (missed(sums), table, rate)
-        if fused == FUSED:
-            table, rate, fused = store(table.withColumn("_rate", rate)), F.col("_rate"), 0
-    return best[1].withColumn("_rate", best[2]), best[0]
+    return F.aggregate(told, start, add, shares)
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(_row(id_col, body).alias(ROW), F.col(id_col).alias("_id"), body.alias("_text"))
+def _stepped(rate: Column, step: list[float]) -> Column:
+    """The projected step: less by the posterior times ``step``, but not below 0."""
+    return F.greatest(F.lit(0.0), rate - sum((F.col("_p")[i] * F.lit(g) for i, g in enumerate(step)), F.lit(0.0)))
 
 
-def _row(id_col: str, body: Column) -> Column:
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"))
+def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_iter: int = 60) -> tuple[DataFrame, list[list[float]], float]:
+    """Add ``_rate`` to ``(_tokens, _p, ...)``; also the steps taken from rate 1 and the largest remaining miss, as a share of all targets.
+
+    Stops when the miss is at most ``tolerance``, or when steps a thousandth as long do not lower it (targets out of reach).
+    """
+    k = len(targets)
+    table, rate, fused = store(members.withColumn("_rate", F.lit(1.0))), F.col("_rate"), 0
+    weight = [F.col("_tokens") * F.col("_p")[i] for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def summed(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Sums per domain, and the overlap of domains in documents whose rate is positive."""
+        rows = table.withColumn("_r", rate)
+        shared = [F.sum(F.when(F.col("_r") > 0, weight[i] * F.col("_p")[j])) for i, j in pairs]
+        row = [float(x or 0.0) for x in rows.agg(*[F.sum(F.col("_r") * w) for w in weight], *shared).first()]
+        overlap = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[k:]):
+            overlap[i, j] = overlap[j, i] = v
+        return np.array(row[:k]), overlap
+
+    if not k:
+        return table, [], 0.0
+    wanted, scale = np.array(targets), max(sum(targets), 1e-12)
+    sums, overlap = summed(rate)
+    steps, length, miss = [], 1.0, float(np.abs(sums - wanted).max() / scale)
+    if not sums.sum():
+        return table, [], 0.0
+    for _ in range(max_iter):
+        if miss <= tolerance or length < 1e-3:
+            break
+        step = (length * (np.linalg.pinv(overlap, rcond=1e-10) @ (sums - wanted))).tolist()
+        tried = _stepped(rate, step)
+        new_sums, new_overlap = summed(tried)
+        new_miss = float(np.abs(new_sums - wanted).max() / scale)
+        if new_miss >= miss:
+            length /= 4
+            continue
+        steps.append(step)
+        rate, sums, overlap, miss, length, fused = tried, new_sums, new_overlap, new_miss, min(1.0, 2 * length), fused + 1
+        if fused == FUSED:
+            table, rate, fused = store(table.withColumn("_rate", rate)), F.col("_rate"), 0
+    return table.withColumn("_rate", rate), steps, miss
+
+
+@dataclass
+class Mix:
+    """The word model, the steps that lead to the rates, the remaining miss, and the rated documents ``(_id, _tokens, _p, _rate)``."""
+
+    model: WordModel
+    steps: list[list[float]]
+    miss: float
+    rated: DataFrame
+
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Repeat every row ``floor(rate)`` times and once more with the rate's fraction as probability.
+
+        Posterior and rate are worked out in the row.  The draw is a hash of the id and the text, so it is the same in every
+        run, and rows that are equal in both share their fate.  Returns the columns of ``docs``.
+        """
+        columns = docs.columns
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+        text = F.col("_row")[text_col]
+        rate: Column = F.lit(1.0)
+        for step in self.steps:
+            rate = _stepped(rate, step)
+        key = F.xxhash64(F.lit("mix"), F.col("_row")[id_col], text)
+        draw = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
+        whole = F.floor("_rate")
+        times = (whole + F.when(draw < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+        rated = rows.withColumn("_p", _membership(text, self.model)["p"]).withColumn("_rate", rate).select("_row", times.alias("_times"))
+        # a filter on the rate, or an inner explode, would be worked out twice: the optimizer moves it below the posterior
+        copies = rated.select("_row", F.explode_outer(F.array_repeat(F.lit(True), "_times")).alias("_copy")).filter("_copy")
+        return copies.select(*[F.col("_row")[c].alias(c) for c in columns])
 
 
 def mix(
@@ -165,34 +237,25 @@ def mix(
     domain: Column | None = None,
     fit_rows: int = FIT_ROWS,
     tolerance: float = 1e-4,
-    max_iter: int = 300,
-) -> tuple[DataFrame, list[str], float]:
-    """Rates for ``docs``: ``(_mix_row, _id, _tokens, _p, _rate)``, the domains, and the remaining miss.
+    max_iter: int = 60,
+) -> Mix:
+    """Rates for ``docs`` that meet the domains' targets; a warning tells when they are missed by more than ``tolerance``.
 
     ``labels`` has ``id_col`` and whatever ``domain`` (default: column ``domain``) is made of.  ``targets`` maps a domain to
     the wanted tokens as a multiple of its natural expected total (1 leaves it as it is); a domain that is not named
-    keeps 1.  ``_mix_row`` is (id, text hashes): rows repeated with the same id and text are one here.
-    Null ids take part but are never fitted on; null texts have no tokens and even posteriors.
+    keeps 1.  Every row is rated by its own text, whatever its length; repeated rows get equal rates.
+    Null ids take part but are never fitted on; null and empty texts have no tokens and the labels' shares as posterior.  Without labels, or without
+    words, all rates are 1; an empty table gives no rows.  Other columns are not read.
     """
-    base = _prepared(docs, id_col, text_col)
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     tagged = labels.select(F.col(id_col).alias("_id"), (F.col("domain") if domain is None else domain).alias("_domain"))
-    members, domains = posteriors(base, tagged, fit_rows)
-    members = store(members)
-    natural = members.agg(*[F.sum(F.col("_tokens") * F.col("_p")[i]) for i in range(len(domains))]).first() if domains else []
-    wanted = [float(n or 0.0) * float(targets.get(d, 1.0)) for n, d in zip(natural, domains)]
-    rated, miss = fit_rates(members, wanted, tolerance, max_iter)
-    return rated, domains, miss
-
-
-def apply_rates(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Repeat every row ``floor(rate)`` times and once more with the rate's fraction as probability.
-
-    The draw is a hash of the id and the text, so it is the same in every run.  Returns the columns of ``docs``.
-    """
-    draw = F.pmod(F.xxhash64(F.lit("mix"), ROW), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    whole = F.floor("_rate")
-    times = (whole + F.when(draw < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
-    right = rated.select(F.col(ROW).alias("_mix_key"), times.alias(TIMES)).filter(F.col(TIMES) > 0)
-    left = docs.withColumn(ROW, _row(id_col, F.coalesce(F.col(text_col), F.lit(""))))
-    joined = left.join(right, F.col(ROW).eqNullSafe(F.col("_mix_key")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), TIMES)).alias("_mix_copy")).drop("_mix_copy")
+    model = word_model(base, tagged, fit_rows)
+    members = base.withColumn("_m", _membership(F.col("_text"), model))
+    members = store(members.select("_id", F.col("_m.n").alias("_tokens"), F.col("_m.p").alias("_p")))
+    shares = [F.sum(F.col("_tokens") * F.col("_p")[i]) for i in range(len(model.domains))]
+    natural = members.agg(*shares).first() if shares else []
+    wanted = [float(n or 0.0) * float(targets.get(d, 1.0)) for n, d in zip(natural, model.domains)]
+    rated, steps, miss = fit_rates(members, wanted, tolerance, max_iter)
+    if miss > tolerance:
+        warnings.warn(f"targets are missed by {miss:.1e} of all tokens", stacklevel=2)
+    return Mix(model, steps, miss, rated)

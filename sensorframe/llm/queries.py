@@ -33,9 +33,10 @@ def domain() -> Column:
 
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rated, domains, _ = mixing.mix(_documents(spark, sf), labels, MIX, domain=domain())
-    shares = [F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
-    return rated.select(F.col("_id").alias("doc_id"), F.col("_tokens").alias("n_tokens"), *shares, F.col("_rate").alias("rate"))
+    mixed = mixing.mix(_documents(spark, sf), labels, MIX, domain=domain())
+    shares = [F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(mixed.model.domains)]
+    rated = mixed.rated.select(F.col("_id").alias("doc_id"), F.col("_tokens").alias("n_tokens"), *shares, F.col("_rate").alias("rate"))
+    return rated.withColumn("miss", F.lit(mixed.miss))
 
 
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:

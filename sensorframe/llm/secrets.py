@@ -215,8 +215,8 @@ def redact(docs: DataFrame, text_col: str = "text", rate: float = RATE, mark: st
     All columns and rows stay; a null text stays null.
     """
     columns = docs.columns
-    whole = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), F.col(text_col).alias("_t"))
-    found = scan(whole, ["_row", "_t"], "_t", rate)
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != text_col])
+    found = scan(docs.select(others.alias("_row"), F.col(text_col).alias("_t")), ["_row", "_t"], "_t", rate)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -404,17 +405,80 @@ def test_mixing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_rate", F.lit(9))
     known = spark.createDataFrame([*labels, (None, "x"), (7, None)], "doc_id long, domain string")
     targets = {"x": 1.5, "y": 0.25, "z": 1.0}
-    rated, domains, miss = mixing.mix(df, known, targets)
-    got = rated.collect()
-    assert domains == ["x", "y", "z"] and miss <= 1e-4 and min(r["_rate"] for r in got) >= 0
+    mixed = mixing.mix(df, known, targets)
+    got, domains = mixed.rated.collect(), mixed.model.domains
+    assert domains == ["x", "y", "z"] and mixed.miss <= 1e-4 and min(r["_rate"] for r in got) >= 0
     for i, d in enumerate(domains):
         natural = sum(r["_tokens"] * r["_p"][i] for r in got)
-        assert abs(sum(r["_rate"] * r["_tokens"] * r["_p"][i] for r in got) - targets[d] * natural) < 0.02 * natural
-    assert sum(r["_tokens"] for r in got) == sum(len((t or "").split()) for _, t in rows)
-    drawn = mixing.apply_rates(df, rated)
-    assert drawn.columns == df.columns and drawn.count() > 0
-    plan = rated._jdf.queryExecution().toString() + drawn._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+        assert abs(sum(r["_rate"] * r["_tokens"] * r["_p"][i] for r in got) - targets[d] * natural) < 1e-3 * natural
+    assert Counter((r["_id"], r["_tokens"]) for r in got) == Counter((i, len((t or "").split())) for i, t in rows)
+    drawn = mixed.apply(df)
+    assert drawn.columns == df.columns
+    copies = Counter((r["doc_id"], r["text"]) for r in drawn.collect())
+    many = Counter(rows)
+    for r in got:
+        for t in {t for i, t in rows if i == r["_id"] and len((t or "").split()) == r["_tokens"]}:
+            assert copies[r["_id"], t] / many[r["_id"], t] in (math.floor(r["_rate"]), math.floor(r["_rate"]) + 1)
+    plan = mixed.rated._jdf.queryExecution().toString() + drawn._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+def test_posteriors_are_naive_bayes(spark):
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(50)]
+    rows, labels = [], {}
+    for k in range(90):
+        kind = "xyz"[k % 3]
+        words = rng.choices([*common, *{"x": [], "y": ["bad"] * 5, "z": ["|"] * 30}[kind]], k=rng.randint(1, 500))
+        rows.append((k, " ".join(words)))
+        if k < 60:
+            labels[k] = kind if k % 5 else "x"
+    rows += [(100, "BAD new"), (101, ""), (102, None), (103, "bad bad bad"), (104, "| " * 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mixed = mixing.mix(df, spark.createDataFrame(list(labels.items()), "doc_id long, domain string"), {})
+    counts = {d: Counter(w for i, t in rows if labels.get(i) == d for w in t.split()) for d in "xyz"}
+    total = {d: counts[d].total() for d in "xyz"}
+    pooled = sum(counts.values(), Counter())
+    telling = set()
+    for w, c in pooled.items():
+        want = {d: total[d] * c / pooled.total() for d in "xyz"}
+        rates = [(counts[d][w] + 1) / (total[d] + 1) for d in "xyz"]
+        if sum((counts[d][w] - want[d]) ** 2 / want[d] for d in "xyz") > mixing.TELLING and max(rates) >= mixing.FACTOR * min(rates):
+            telling.add(w)
+    assert {"bad", "|"} <= telling and len(telling) < 6
+    quiet = {d: (sum(c for w, c in counts[d].items() if w not in telling) + 1) / (total[d] + 1 + len(telling)) for d in "xyz"}
+    calm = sum(c for w, c in pooled.items() if w not in telling) / pooled.total()
+
+    def weight(d, w):
+        if w not in telling:
+            return math.log(quiet[d])
+        return math.log((counts[d][w] + 1) / (total[d] + 1 + len(telling)) / (pooled[w] / pooled.total()) * calm)
+
+    for r in mixed.rated.collect():
+        words = (dict(rows)[r["_id"]] or "").lower().split()
+        shrink = min(1, mixing.EVIDENCE / max(len(words), 1))
+        logs = [sum(weight(d, w) for w in words) * shrink + math.log(Counter(labels.values())[d] / 60) for d in "xyz"]
+        parts = [math.exp(x - max(logs)) for x in logs]
+        np.testing.assert_allclose(r["_p"], [x / sum(parts) for x in parts], rtol=1e-6, atol=1e-12)
+        assert r["_tokens"] == len(words) and r["_rate"] == 1.0
+
+
+def test_rates_follow_the_steps(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
+    tokens = rng.integers(0, 500, 400)
+    df = spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p))], "_id long, _tokens long, _p array<double>")
+    natural = tokens @ p
+    rated, steps, miss = mixing.fit_rates(df, (natural * [1.3, 0.4, 0.05]).tolist())
+    rate = np.ones(400)
+    for step in steps:
+        rate = np.maximum(0, rate - p @ step)
+    got = rated.orderBy("_id").toPandas()["_rate"].to_numpy()
+    np.testing.assert_allclose(got, rate, atol=1e-12)
+    np.testing.assert_allclose((rate * tokens) @ p, natural * [1.3, 0.4, 0.05], atol=2e-4 * natural.sum())
+    assert miss <= 1e-4 and len(steps) < 30
+    out = mixing.fit_rates(df, (natural * [1, 1, -1]).tolist())
+    assert out[2] > 1e-4 and out[0].count() == 400
 
 
 def test_empty_tables(empty, model):
@@ -423,5 +487,5 @@ def test_empty_tables(empty, model):
     assert pieces.encode(empty, model).isEmpty() and packing.pack(empty.selectExpr("doc_id", "array(1) ids")).isEmpty()
     assert secrets.scan(empty, ["doc_id"]).isEmpty() and secrets.redact(empty).isEmpty()
     assert sharding.place(empty, 3).isEmpty()
-    rated, _, miss = mixing.mix(empty, empty.selectExpr("doc_id", "lang domain"), {})
-    assert rated.isEmpty() and miss == 0.0
+    mixed = mixing.mix(empty, empty.selectExpr("doc_id", "lang domain"), {})
+    assert mixed.rated.isEmpty() and mixed.miss == 0.0 and mixed.apply(empty).isEmpty()
