@@ -39,8 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that meet the domains' token targets."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated, _, _ = mixing.mix(docs, labels, MIX, domain=domain())
-    return mixing.apply_rates(docs, rated)
+    return mixing.mix(docs, labels, MIX, domain=domain()).apply(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
