@@ -8,7 +8,7 @@ packing needs no shuffle and no group is ever gathered.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,7 @@ def pack(
     pad: int = 0,
     vocabulary: int = 1 << 16,
     block_tokens: int = BLOCK_TOKENS,
+    encoder: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
     """Pack the token ids of all rows into rows of ``length``.
 
@@ -125,7 +126,8 @@ def pack(
     above 65,536, padded with ``pad``), ``n_tokens``, ``cu_seqlens`` (0, then the end of every segment), ``position_ids``
     (``uint16``, or ``uint32`` for rows above 65,536; 0 again at every segment) and for every segment ``doc_ids``, ``doc_rows`` (a number of the input row, which tells
     repeated or null ids apart) and ``doc_parts`` (which cut of the document).  Null and empty id lists take no room.
-    Other columns are not read.  Results depend on how the input is cut into tasks, as every task packs its own rows.
+    With an ``encoder``, ``ids_col`` holds texts and the encoder, in the same task, adds ``ids`` to batches of ``id, text``.
+    An id outside the vocabulary is an error.  Other columns are not read.  Results depend on how the input is cut into tasks, as every task packs its own rows.
     """
     if length < 1:
         raise ValueError("a row must hold a token")
@@ -135,7 +137,7 @@ def pack(
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
         first, held, size = number, [], 0
-        for batch in batches:
+        for batch in encoder(batches) if encoder else batches:
             values = batch.column("ids")
             for name, ids in zip(batch.column("id").to_pylist(), values):
                 found = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else ()
@@ -151,7 +153,8 @@ def pack(
         if held:
             yield _block(held, length, pad, kind, first)
 
-    narrow = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    ids = F.col(ids_col).alias("text") if encoder else F.col(ids_col).cast("array<int>").alias("ids")
+    narrow = rows.select(F.col(id_col).cast("long").alias("id"), ids)
     return narrow.mapInArrow(run, _SCHEMA)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
@@ -368,6 +368,26 @@ class LibraryEncoder(Encoder):
         return ids, np.concatenate(([0], np.cumsum([len(f) for f in found])))
 
 
+def encoder(
+    model: PieceModel, names: list[str], text_col: str = "text", out: str = "ids", batch_rows: int = 1000, library: bool = False
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for tasks that adds the ids ``out`` to batches with columns ``names``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LibraryEncoder(model) if library else Encoder(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, batch_rows):
+                piece = batch.slice(k, batch_rows)
+                texts = piece.column(names.index(text_col)).to_pylist()
+                ids, begin = own.encode(texts)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(begin.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts])
+                )
+                yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*names, out])
+
+    return run
+
+
 def encode(
     docs: DataFrame,
     model: PieceModel,
@@ -382,21 +402,8 @@ def encode(
     encoded by the reference library instead of the suffix array; the ids are the same.
     """
     docs = docs.drop(out) if out != text_col else docs
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(model) if library else Encoder(model)
-        for batch in batches:
-            for k in range(0, batch.num_rows, batch_rows):
-                piece = batch.slice(k, batch_rows)
-                texts = piece.column(names.index(text_col)).to_pylist()
-                ids, begin = encoder.encode(texts)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(begin.astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts])
-                )
-                yield pa.RecordBatch.from_arrays([*piece.columns, lists], [*names, out])
-
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(out)).schema)
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias(out)).schema
+    return docs.mapInArrow(encoder(model, docs.columns, text_col, out, batch_rows, library), schema)
 
 
 def decode(rows: DataFrame, model: PieceModel, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -62,8 +62,8 @@ def op5_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     model = pieces.PieceModel.load(MODEL)
-    encoded = pieces.encode(_documents(spark, sf).select("doc_id", "text"), model, library=True)
-    return packing.pack(encoded, length=2048, vocabulary=len(model.pieces))
+    encoder = pieces.encoder(model, ["id", "text"], library=True)
+    return packing.pack(_documents(spark, sf), length=2048, ids_col="text", vocabulary=len(model.pieces), encoder=encoder)
 
 
 def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:

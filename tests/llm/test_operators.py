@@ -173,6 +173,12 @@ def test_encoding_agrees_with_the_library(docs, model):
     assert rows.filter("text IS NULL AND ids IS NOT NULL").isEmpty()
 
 
+def test_encoding_and_packing_in_one_task(docs, model):
+    own = packing.pack(docs, 64, ids_col="text", encoder=pieces.encoder(model, ["id", "text"], library=True))
+    split = packing.pack(pieces.encode(docs, model), 64)
+    assert sorted(map(str, own.collect())) == sorted(map(str, split.collect()))
+
+
 def test_best_path():
     small = pieces.PieceModel(["<unk>", "▁", "a", "b", "ab", "▁a", "bb"], [2, 1, 1, 1, 1, 1, 1], [0, -3, -2, -2.5, -0.5, -1.5, -9], False, True)
     ids, begin = pieces.Encoder(small).encode(["ab", "abb", "ac"])
