@@ -343,21 +343,41 @@ def test_neighbours(spark):
     assert forest.neighbours(few.limit(0), lambda i: i % 50 == 0).isEmpty()
 
 
-@pytest.mark.parametrize("n", [1_500, 12_000])
-def test_recall_does_not_depend_on_size(spark, n):
-    x = np.random.default_rng(11).standard_normal((n, 64))
+@pytest.mark.parametrize("n,kind", [(500, "random"), (1_500, "random"), (12_000, "random"), (12_000, "clusters")])
+def test_recall_does_not_depend_on_size(spark, monkeypatch, n, kind):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, 64))
+    if kind == "clusters":
+        x = rng.standard_normal((n // 50, 64))[rng.integers(0, n // 50, n)] + 0.4 * x
     df = spark.createDataFrame(list(zip(range(n), x.tolist())), "vec_id long, embedding array<double>").repartition(4)
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     asked = range(0, n, 100)
     score = unit[asked] @ unit.T
     score[range(len(asked)), asked] = -2
     want = {(q, i) for q, row in zip(asked, np.argsort(-score, axis=1)[:, :5].tolist()) for i in row}
-    for limits in ({}, {"candidates": 300}, {"candidates": 300, "scan": float("inf")}):
+    ascents: list[int] = []
+    monkeypatch.setattr(forest, "_ascend", lambda *a, own=forest._ascend: ascents.append(a[-1]) or own(*a))
+    for limits in ({}, {"candidates": 300}, {"candidates": 300, "scan": 0.0}):
+        ascents.clear()
         got = forest.neighbours(df, lambda i: i % 100 == 0, **limits).collect()
-        assert len(got) == len(want)
+        assert len(got) == len(want) and bool(ascents) == ("scan" not in limits)
         assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
 
 
+def test_short_ranges_go_on_with_fewer_bits(spark):
+    """A lone direction shares few bits with a crowd; its ranges end up at the top."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate((rng.standard_normal(32) + 0.05 * rng.standard_normal((30_000, 32)), rng.standard_normal((30, 32))))
+    df = spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id long, embedding array<double>").repartition(8)
+    got = forest.neighbours(df, lambda i: i >= 30_000, trees=8, candidates=200).toPandas()
+    assert len(got) == 150
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit[30_000:] @ unit.T
+    score[range(30), range(30_000, 30_030)] = -2
+    want = {(30_000 + q, i) for q, row in enumerate(np.argsort(-score, axis=1)[:, :5].tolist()) for i in row}
+    assert len(set(zip(got["query_id"], got["vec_id"])) & want) >= 0.9 * 150
+
+
 def test_language(spark):
     rng = random.Random(8)
     parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["ster", "und", "ein", "ver"], "cc": ["ção", "nha", "que", "os"]}
