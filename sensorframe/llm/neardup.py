@@ -142,14 +142,6 @@ def _sets(shingle: int):
     return run
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose signatures differ in at most ``MOST_APART`` positions."""
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        near = (one != two).sum(axis=1) <= MOST_APART
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
-
-
 def _shingle_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """Stored ``(cid, shingles, cells)`` of the texts that occur in a pair."""
     involved = store(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
@@ -183,7 +175,8 @@ def _across(
 
     Shingles that no other text in question holds cannot be shared: what is left of a text bounds its
     similarity to every partner, which rules out heavily edited copies before any pair is formed.  A pair is
-    formed only if the counts of shingles per cell admit the similarity.  None of these bounds loses a link.
+    formed only if the counts of shingles per cell admit the similarity, which loses no link, and if the signatures differ in
+    at most ``MOST_APART`` positions.
     """
     placed = members.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     placed = placed.select("key", "head", "cid", F.coalesce("root", "cid").alias("root"))
@@ -200,6 +193,7 @@ def _across(
         F.col("a").alias("head"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("together")).alias("far")
     )
     wholes = reps.join(asked.select("cid"), "cid", "left_semi").mapInArrow(_keys, KEYS).select("cid", "whole")
+    wholes = wholes.join(reps.select("cid", "sig"), "cid")
     placed = placed.join(sized.join(wholes, "cid"), "cid").withColumn("at", F.col("key").bitwiseAND(F.lit(127)).cast("int"))
     placed = store(placed.join(far, ["head", "cid"], "left").fillna(0.0, ["far"]))
     one, two = placed.alias("one"), placed.alias("two")
@@ -214,15 +208,15 @@ def _across(
         f"(x, y) -> x = y), z -> z) AND (one.at % {SYMBOLS} = 0 "
         f"OR element_at(one.whole, 1 + CAST(one.at div {SYMBOLS} AS INT)) <> element_at(two.whole, 1 + CAST(one.at div {SYMBOLS} AS INT)))"
     )
+    apart = F.expr(
+        f"size(filter(sequence(1, {2 * SYMBOLS * CHUNKS}, 2), i -> substring(one.sig, i, 2) <> substring(two.sig, i, 2))) <= {MOST_APART}"
+    )
     pairs = (
-        one.join(two, differ & fits & close & early & (F.lit(100 + percent) * cellwise >= least))
+        one.join(two, differ & fits & close & early & (F.lit(100 + percent) * cellwise >= least) & apart)
         .select(F.least("one.cid", "two.cid").alias("a"), F.greatest("one.cid", "two.cid").alias("b"))
         .distinct()
     )
-    left = reps.select(F.col("cid").alias("a"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("cid").alias("b"), F.col("sig").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_apart, "a long, b long")
-    return store(near)
+    return store(pairs)
 
 
 def clusters(
