@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sensorframe.functions.columns import format_stamp, r6
+from sensorframe.functions.columns import format_stamp, grid_floor, r6
 from sensorframe.operators import anomaly, explore
 from sensorframe.queries import views
 from sensorframe.queries.registry import query
@@ -14,6 +14,7 @@ from sensorframe.queries.series import SERIES, _series
 from sensorframe.queries.views import DISTRIBUTIONS, ERRORS, GRID, LISTING, RAW, READINGS
 from sensorframe.session import shared_folder
 from sensorframe.sources import readers, writers
+from sensorframe.streaming import live
 
 
 def _new_path(spark, name: str) -> str:
@@ -102,3 +103,61 @@ def _(spark, sf):
     cells = cells.select("ts", (F.col("i") * 2.5).cast("double").alias("coord"), "strain")
     writers.write_distribution(cells, path)
     return spark.read.parquet(path).withColumn("strain", r6("strain"))
+
+
+_FILED = f"""{RAW}, filed AS (SELECT ts, loop, row_number() OVER (PARTITION BY ts, loop ORDER BY line) - 1 AS line,
+    span, beam, coord, strain, temp, CAST(position AS DOUBLE) AS distance, span || ',' || beam || ',' || CAST(coord AS VARCHAR) AS position
+    FROM raw)"""
+
+
+def _snapshot_folder(spark, sf) -> str:
+    path = _new_path(spark, "snapshots")
+    raw = views.raw_readings(spark, sf).withColumn("distance", F.col("position").cast("double"))
+    writers.write_snapshots(raw, path)
+    return path
+
+
+def _naive(df):
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("read_raw_readings", f"WITH {_FILED} SELECT * FROM filed")
+def _(spark, sf):
+    return _naive(readers.read_raw_readings(spark, _snapshot_folder(spark, sf)))
+
+
+@query(
+    "read_raw_readings_range",
+    f"WITH {_FILED} SELECT * FROM filed WHERE loop IN ('click', 'view') AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20 08:00:00'",
+)
+def _(spark, sf):
+    path = _snapshot_folder(spark, sf)
+    return _naive(readers.read_raw_readings(spark, path, ["click", "view"], "20240103000000", "20240120080000"))
+
+
+@query("read_distribution_values", f"WITH {_FILED} SELECT ts, line, coord AS value FROM filed WHERE loop = 'error' AND line > 0")
+def _(spark, sf):
+    path = _new_path(spark, "values")
+    raw = views.raw_readings(spark, sf).withColumn("distance", F.lit(0.0))
+    # the second token of "N10 1.5, B, 1.5" is a number
+    writers.write_snapshots(raw.withColumn("span", F.concat_ws(" ", "span", F.concat(F.col("coord").cast("string"), F.lit(" ")))), path)
+    return _naive(readers.read_distribution_values(spark, path, "error"))
+
+
+@query(
+    "read_alarm_texts",
+    """SELECT time_bucket(INTERVAL '4 hours', ts) AS ts, string_agg(event_type || ';' || user_id, ' ' ORDER BY event_id) || chr(10) AS text
+    FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    path = _new_path(spark, "alarms")
+    events = views.table(spark, sf, "events").withColumn("slot", grid_floor(F.col("ts")))
+    entry = F.struct("event_id", F.concat_ws(";", "event_type", F.col("user_id").cast("string")).alias("t"))
+    texts = events.groupBy("slot").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"]), " ").alias("value"))
+    texts.select(format_stamp(F.col("slot")).alias("stamp"), "value").write.partitionBy("stamp").text(path)
+    return _naive(readers.read_alarm_texts(spark, path, "*.txt"))
+
+
+@query("stream_readings", f"WITH {_FILED} SELECT * FROM filed")
+def _(spark, sf):
+    return _naive(live.run_available(live.stream_readings(spark, _snapshot_folder(spark, sf))))

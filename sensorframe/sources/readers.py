@@ -17,23 +17,28 @@ def _plain(c: Column) -> Column:
 
 
 def _folder_stamp() -> Column:
-    return F.regexp_extract(_plain(F.col("_metadata.file_path")), r"([^/]+)/[^/]+$", 1)
+    """Name of the file's folder, or what follows ``stamp=`` in its path."""
+    path = _plain(F.col("_metadata.file_path"))
+    named = F.nullif(F.regexp_extract(path, r"/stamp=([^/]+)/", 1), F.lit(""))
+    return F.coalesce(named, F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
 def _file_name() -> Column:
     return _plain(F.col("_metadata.file_name"))
 
 
+def _loop_name() -> Column:
+    """The file's name, or what follows ``loop=`` in its path."""
+    named = F.nullif(F.regexp_extract(_plain(F.col("_metadata.file_path")), r"/loop=([^/]+)/", 1), F.lit(""))
+    return F.coalesce(named, _file_name())
+
+
 def _number(c: Column) -> Column:
     return finite(F.trim(c).try_cast("double"))
 
 
-def parse_snapshots(files: DataFrame) -> DataFrame:
-    """Rows of whole snapshot files given as ``(stamp, loop, value)``.
-
-    A line is ``Span, Beam, Coord<TAB>strain<TAB>..<TAB>..<TAB>temp<TAB>distance``.
-    """
-    lines = files.select("stamp", "loop", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+def _cells(lines: DataFrame) -> DataFrame:
+    """Rows of ``(stamp, loop, line, text)``."""
     cells = lines.filter(F.trim("text") != "").withColumn("_c", F.split("text", "\t"))
     head = F.get("_c", F.lit(0))
     return cells.select(
@@ -50,28 +55,64 @@ def parse_snapshots(files: DataFrame) -> DataFrame:
     )
 
 
+def parse_snapshots(files: DataFrame) -> DataFrame:
+    """Rows of whole snapshot files given as ``(stamp, loop, value)``.
+
+    A line is ``Span, Beam, Coord<TAB>strain<TAB>..<TAB>..<TAB>temp<TAB>distance``.
+    """
+    return _cells(files.select("stamp", "loop", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")))
+
+
+def _chosen(files: DataFrame, loops: Sequence[str] | None, start: str | None, stop: str | None) -> DataFrame:
+    """Only some loops and stamps; the condition reads file names alone, so other files are never opened."""
+    if loops is not None:
+        files = files.filter(_loop_name().isin(list(loops)))
+    if start is not None:
+        files = files.filter(_folder_stamp() >= start)
+    if stop is not None:
+        files = files.filter(_folder_stamp() <= stop)
+    return files
+
+
 def _snapshot_files(reader, root: str, loops: Sequence[str] | None) -> DataFrame:
-    """Whole files under ``<root>/<stamp>/``; each is one snapshot of one loop."""
-    glob = "*.txt" if not loops else "{" + ",".join(loops) + "}"
-    files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return files.text(root, wholetext=True).select(
-        _folder_stamp().alias("stamp"), _file_name().alias("loop"), "value"
+    """Whole files of a stream; each is one snapshot of one loop."""
+    files = _chosen(reader.option("recursiveFileLookup", "true").text(root, wholetext=True), loops, None, None)
+    return files.select(_folder_stamp().alias("stamp"), _loop_name().alias("loop"), "value")
+
+
+def _snapshot_lines(
+    spark: SparkSession, root: str, loops: Sequence[str] | None, start: str | None = None, stop: str | None = None
+) -> DataFrame:
+    """``(stamp, loop, line, text)``: lines of all snapshot files, numbered from 0 in each file.
+
+    Files are read by line, so a large one is cut into several tasks; numbers come from counts per block of a file.
+    """
+    files = _chosen(spark.read.option("recursiveFileLookup", "true").text(root), loops, start, stop)
+    lines = files.select(
+        _folder_stamp().alias("stamp"),
+        _loop_name().alias("loop"),
+        F.col("value").alias("text"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
     )
+    return number_rows(lines, ["stamp", "loop"], ["_line"], "_block", out="line").drop("_block", "_line")
+
 
+def read_raw_readings(
+    spark: SparkSession, root: str, loops: Sequence[str] | None = None, start: str | None = None, stop: str | None = None
+) -> DataFrame:
+    """Readings of the snapshot files ``<root>/<stamp>/<loop>`` or ``<root>/stamp=<stamp>/loop=<loop>/*``.
 
-def read_raw_readings(spark: SparkSession, root: str, loops: Sequence[str] | None = None) -> DataFrame:
-    return parse_snapshots(_snapshot_files(spark.read, root, loops))
+    ``start`` and ``stop`` are 14-digit stamps, both included.
+    """
+    return _cells(_snapshot_lines(spark, root, loops, start, stop))
 
 
 def read_distribution_values(spark: SparkSession, root: str, loop: str) -> DataFrame:
     """Second whitespace-separated token of every line but the first."""
-    lines = _snapshot_files(spark.read, root, [loop]).select(
-        parse_stamp(F.col("stamp")).alias("ts"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")
-    )
+    lines = _snapshot_lines(spark, root, [loop]).withColumn("ts", parse_stamp(F.col("stamp")))
     token = F.try_element_at(F.split(F.trim("text"), r"\s+"), F.lit(2))
-    return lines.filter((F.col("line") > 0) & (F.trim("text") != "")).select(
-        "ts", F.col("line").cast("long").alias("line"), _number(token).alias("value")
-    )
+    return lines.filter((F.col("line") > 0) & (F.trim("text") != "")).select("ts", "line", _number(token).alias("value"))
 
 
 def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,10 +157,10 @@ def read_file_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alarm_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Whole alarm files (Latin-1), one per snapshot folder."""
+    """Whole alarm files (Latin-1) called ``name``, one per snapshot folder ``<stamp>`` or ``stamp=<stamp>``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
     return files.load(root).select(
-        parse_stamp(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).alias("ts"),
+        parse_stamp(F.regexp_extract("path", r"(?:stamp=)?([^/=]+)/[^/]+$", 1)).alias("ts"),
         F.decode("content", "ISO-8859-1").alias("text"),
     )
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from sensorframe.functions.columns import format_stamp
 from sensorframe.plans.scan import CHUNK, PART, chunk_of
 
 
@@ -17,6 +18,19 @@ def write_series(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "er
         writer.format(fmt).save(path)
 
 
+def write_snapshots(raw: DataFrame, root: str, mode: str = "error") -> None:
+    """Snapshot files ``<root>/stamp=<stamp>/loop=<loop>/*`` with a line per reading, in order of ``line``."""
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+    head = F.concat_ws(", ", text("span"), text("beam"), text("coord"))
+    value = F.concat_ws("\t", head, text("strain"), F.lit("0"), F.lit("0"), text("temp"), text("distance"))
+    rows = raw.select(format_stamp(F.col("ts")).alias("stamp"), "loop", "line", value.alias("value"))
+    rows = rows.repartition("stamp", "loop").sortWithinPartitions("stamp", "loop", "line").drop("line")
+    rows.write.mode(mode).partitionBy("stamp", "loop").text(root)
+
+
 def write_threshold(threshold: DataFrame, path: str, mode: str = "error") -> None:
     """``mean_error`` and ``std_error`` as one JSON line."""
     threshold.select("mean_error", "std_error").coalesce(1).write.mode(mode).json(path)
