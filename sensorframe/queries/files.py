@@ -161,3 +161,18 @@ def _(spark, sf):
 @query("stream_readings", f"WITH {_FILED} SELECT * FROM filed")
 def _(spark, sf):
     return _naive(live.run_available(live.stream_readings(spark, _snapshot_folder(spark, sf))))
+
+
+@query("read_series_csv", f"WITH {READINGS} SELECT {SERIES}, strftime(time, '%Y%m%d%H%M%S') AS time_index FROM readings")
+def _(spark, sf):
+    path = _new_path(spark, "csv")
+    rows = views.readings(spark, sf).select(
+        "sensor", "rn", format_stamp(F.col("time")).alias("Time_index"), F.col("time").cast("string").alias("Time"),
+        F.col("strain").alias("Strain"), F.col("temperature").alias("Temperature"),
+    )
+    files = rows.repartition("sensor").sortWithinPartitions("sensor", "rn").drop("rn")
+    files.write.partitionBy("sensor").csv(path, header=True)
+    back = readers.read_series_csv(spark, path)
+    return _series(back.withColumn("time", F.col("time").cast("timestamp_ntz"))).join(
+        back.select("sensor", "rn", "time_index"), ["sensor", "rn"]
+    )

@@ -9,7 +9,7 @@ from sensorframe.functions.columns import r6
 from sensorframe.operators import distribution, explore, filters, joins
 from sensorframe.queries import views
 from sensorframe.queries.registry import query
-from sensorframe.queries.views import ALARM, DISTRIBUTIONS, GRID, LISTING, RAW, READINGS
+from sensorframe.queries.views import HOURLY, ALARM, DISTRIBUTIONS, GRID, LISTING, RAW, READINGS
 
 SENSORS = ("click", "error", "purchase", "signup", "view")
 
@@ -94,39 +94,35 @@ def _(spark, sf):
 
 @query(
     "files_missing",
-    f"""WITH {GRID}, {LISTING}, even AS (SELECT * FROM listing WHERE day(ts) % 2 = 0)
-    SELECT ts, stamp FROM grid WHERE ts NOT IN (SELECT ts FROM even WHERE file_name = 'error.txt')""",
+    f"WITH {HOURLY} SELECT ts, stamp FROM grid WHERE ts NOT IN (SELECT ts FROM listing WHERE file_name = 'error.txt')",
 )
 def _(spark, sf):
-    even = views.file_listing(spark, sf).filter(F.day("ts") % 2 == 0)
-    return joins.files_missing(views.grid(spark, sf), even, "error.txt")
+    grid = joins.grid_over(views.table(spark, sf, "events"), "ts", 1)
+    return joins.files_missing(grid, views.file_listing(spark, sf, 1), "error.txt")
 
 
 @query(
     "availability_matrix",
-    f"""WITH {GRID}, {LISTING}, even AS (SELECT DISTINCT ts, file_name FROM listing WHERE day(ts) % 2 = 0)
+    f"""WITH {HOURLY}, there AS (SELECT DISTINCT ts, file_name FROM listing)
     SELECT f.file_name, g.ts, CAST(CASE WHEN e.ts IS NULL THEN 0 ELSE 1 END AS INT) AS available
     FROM (SELECT DISTINCT file_name FROM listing) f CROSS JOIN grid g
-    LEFT JOIN even e ON e.ts = g.ts AND e.file_name = f.file_name""",
+    LEFT JOIN there e ON e.ts = g.ts AND e.file_name = f.file_name""",
 )
 def _(spark, sf):
-    listing = views.file_listing(spark, sf)
-    even = listing.filter(F.day("ts") % 2 == 0)
+    listing = views.file_listing(spark, sf, 1)
     return explore.availability_matrix(
-        even, listing.agg(F.min("ts")).scalar(), listing.agg(F.max("ts")).scalar()
+        listing, listing.agg(F.min("ts")).scalar(), listing.agg(F.max("ts")).scalar(), "1 hour"
     )
 
 
 @query(
     "activity_counts",
-    f"""WITH {LISTING}, l AS (SELECT * FROM listing WHERE NOT (file_name = 'view.txt' AND hour(ts) = 8))
-    SELECT t.ts, f.file_name, count(l.ts) AS n
-    FROM (SELECT DISTINCT ts FROM l) t CROSS JOIN (SELECT DISTINCT file_name FROM l) f
-    LEFT JOIN l ON l.ts = t.ts AND l.file_name = f.file_name GROUP BY 1, 2""",
+    f"""WITH {HOURLY} SELECT t.ts, f.file_name, count(l.ts) AS n
+    FROM (SELECT DISTINCT ts FROM listing) t CROSS JOIN (SELECT DISTINCT file_name FROM listing) f
+    LEFT JOIN listing l ON l.ts = t.ts AND l.file_name = f.file_name GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    listing = views.file_listing(spark, sf)
-    return explore.activity_counts(listing.filter(~((F.col("file_name") == "view.txt") & (F.hour("ts") == 8))))
+    return explore.activity_counts(views.file_listing(spark, sf, 1))
 
 
 @query(

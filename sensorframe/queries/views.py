@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorframe.functions.columns import grid_floor
 from sensorframe.operators import joins, rolling
-from sensorframe.plans.scan import number_by_time
+from sensorframe.plans.scan import number_by_sort, number_by_time
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -146,9 +146,9 @@ grid AS (
     FROM events))"""
 
 
-def file_listing(spark: SparkSession, sf: str) -> DataFrame:
+def file_listing(spark: SparkSession, sf: str, hours: int = 4) -> DataFrame:
     return table(spark, sf, "events").select(
-        grid_floor(F.col("ts")).cast("timestamp_ntz").alias("ts"),
+        grid_floor(F.col("ts"), hours).cast("timestamp_ntz").alias("ts"),
         F.concat("event_type", F.lit(".txt")).alias("file_name"),
     )
 
@@ -157,6 +157,15 @@ LISTING = """
 listing AS (SELECT time_bucket(INTERVAL '4 hours', ts) AS ts, event_type || '.txt' AS file_name FROM events)"""
 
 
+#: the same by the hour, which leaves holes that the 4-hour grid has not
+HOURLY = """
+listing AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS ts, event_type || '.txt' AS file_name FROM events),
+grid AS (
+  SELECT ts, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM (
+    SELECT unnest(generate_series(time_bucket(INTERVAL '1 hour', min(ts)), max(ts), INTERVAL '1 hour')) AS ts
+    FROM events))"""
+
+
 def raw_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots of each loop every 4 hours, with spans N10, N9, N8 and an unnumbered one."""
     user = F.col("user_id")
@@ -200,20 +209,20 @@ alarms AS (SELECT TIMESTAMP '2020-01-01' + CAST(doc_id AS INT) * INTERVAL '1' DA
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Five labelings of a growing share of the profiles; the last holds all of them."""
     base = F.lit("2021-01-01").cast("date")
-    profiles = table(spark, sf, "embeddings")
+    profiles = number_by_sort(table(spark, sf, "embeddings"), [], ["vec_id"], "pos")
     rows = profiles.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return rows.filter(5 * F.col("vec_id") < profiles.count() * F.col("d")).select(
+    return rows.filter(5 * F.col("pos") < profiles.count() * F.col("d")).select(
         F.date_add(base, F.col("d")).alias("snapshot_date"),
-        F.col("vec_id").alias("pos"),
+        "pos",
         ((F.col("label") + F.col("vec_id") % F.col("d")) % 10).cast("int").alias("cluster"),
     )
 
 
 SNAPSHOTS = """
 snapshots AS (
-  SELECT DATE '2021-01-01' + CAST(d AS INT) AS snapshot_date, vec_id AS pos,
-         CAST((label + vec_id % d) % 10 AS INT) AS cluster
-  FROM embeddings, (SELECT unnest(range(1, 6)) AS d) WHERE 5 * vec_id < d * (SELECT count(*) FROM embeddings))"""
+  SELECT DATE '2021-01-01' + CAST(d AS INT) AS snapshot_date, pos, CAST((label + vec_id % d) % 10 AS INT) AS cluster
+  FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings), (SELECT unnest(range(1, 6)) AS d)
+  WHERE 5 * pos < d * (SELECT count(*) FROM embeddings))"""
 
 
 def errors(spark: SparkSession, sf: str) -> DataFrame:

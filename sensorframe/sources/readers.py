@@ -116,14 +116,15 @@ def read_distribution_values(spark: SparkSession, root: str, loop: str) -> DataF
 
 
 def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.csv`` of a folder as readings; the sensor is the file name without its ending.
+    """All ``*.csv`` of a folder as readings; the sensor is the file name without its ending, or what follows ``sensor=`` in the path.
 
     ``rn`` is the position in the file, also of rows whose time cannot be read.  Files are numbered by
     block, so a long one is never sorted in one task.
     """
-    rows = spark.read.schema(schema.SERIES_FILE).option("pathGlobFilter", "*.csv").csv(folder, header=True)
-    rows = rows.select(
-        F.regexp_replace(_file_name(), r"\.csv$", "").alias("sensor"),
+    reader = spark.read.schema(schema.SERIES_FILE).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+    named = F.nullif(F.regexp_extract(_plain(F.col("_metadata.file_path")), r"/sensor=([^/]+)/", 1), F.lit(""))
+    rows = reader.csv(folder, header=True).select(
+        F.coalesce(named, F.regexp_replace(_file_name(), r"\.csv$", "")).alias("sensor"),
         F.col("Time_index").alias("time_index"),
         F.try_to_timestamp(F.col("Time")).alias("time"),
         _number(F.col("Strain")).alias("strain"),
