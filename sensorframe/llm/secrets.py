@@ -147,9 +147,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("_text"):
             text = text.as_py() or ""
             base = base_spans(text)
-            tokens = []
-            for m in TOKEN.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b, _ in base):
+            tokens, k, reach = [], 0, 0
+            for m in TOKEN.finditer(text):  # both lists ascend: reach is the furthest end of spans that start before the token's end
+                while k < len(base) and base[k][0] < m.end():
+                    reach, k = max(reach, base[k][1]), k + 1
+                if reach <= m.start():
                     tokens.append((m.start(), m.end(), weigh(m[0])))
             rows.append(([(a, b, k) for a, b, k in base], tokens))
         base, tokens = zip(*rows) if rows else ((), ())

@@ -516,3 +516,25 @@ def test_empty_tables(empty, model):
     assert sharding.place(empty, 3).isEmpty()
     mixed = mixing.mix(empty, empty.selectExpr("doc_id", "lang domain"), {})
     assert mixed.rated.isEmpty() and mixed.miss == 0.0 and mixed.apply(empty).isEmpty()
+
+
+def test_long_text_of_secrets(spark):
+    """Tokens and base spans of a text are merged in one pass."""
+    import time
+
+    import pyarrow as pa
+
+    line = "id 0123456789abcdef0123456789abcdef token=abcdefgh12 Zq8-xV2_kP0wLr7TnB4yHs1M "
+    text = line * (2_000_000 // len(line))
+    begun = time.time()
+    (out,) = secrets._scan(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["_text"])]))
+    assert time.time() - begun < 20
+    base, tokens = out.column("base")[0].as_py(), out.column("tokens")[0].as_py()
+    assert len(base) == 2 * (len(text) // len(line)) and len(tokens) == len(text) // len(line)
+    rng = random.Random(3)
+    for _ in range(50):
+        short = "".join(rng.choice(["token=", "abcdef0123" * 3, "Zq8-xV2_kP0wLr7TnB4yHs1M", " ", "AKIA" + "A1" * 10, "/"]) for _ in range(30))
+        (out,) = secrets._scan(iter([pa.RecordBatch.from_arrays([pa.array([short])], ["_text"])]))
+        found = secrets.base_spans(short)
+        want = [(m.start(), m.end()) for m in secrets.TOKEN.finditer(short) if not any(a < m.end() and m.start() < b for a, b, _ in found)]
+        assert [(t["a"], t["b"]) for t in out.column("tokens")[0].as_py()] == want
