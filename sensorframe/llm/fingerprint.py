@@ -2,9 +2,9 @@
 
 A k-mer (``K`` bytes of UTF-8) is a closed syncmer if the smallest hash among its inner s-mers stands at
 either edge.  Whether it is chosen depends on its own bytes alone, so a shared passage yields the same anchors
-wherever it stands.  A fingerprint keeps the ``ANCHORS`` anchors with the smallest hashes, in the
-order of their positions, each with its place in the text; likeness is the share of common anchors
-(bottom-k estimate of the Jaccard likeness) that also keep one order.
+wherever it stands.  A fingerprint keeps all anchors in a fixed share of the hash range, so it grows with the text,
+and at least the ``ANCHORS`` smallest ones, in the order of their positions and with them.  Likeness matches positions:
+common anchors count as far as they stand in one order and at the same distances.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ from sensorframe.llm import text as tx
 from sensorframe.plans.sizing import store
 
 K, S = 12, 4
-ANCHORS = 32
+#: anchors that every text keeps (all, if it has fewer), and the share of the hash range kept beyond them
+ANCHORS, SHARE = 32, 16
+LIMIT = (1 << 32) // SHARE
 #: rows of one range in the ordered pass
 RANGE_ROWS = 20_000
 
 _BASE = tx.U(0x9E3779B97F4A7C15)
+_ANCHOR = np.dtype([("hash", ">u4"), ("place", ">u4")])
 
 
 def _rolling(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,50 +62,72 @@ def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, tx.mix(tx.mix(ends[0] * _BASE + ends[1]) * _BASE + ends[2])
 
 
-def fingerprint(data: bytes) -> str:
-    """Anchors in the order of position: 8 hex digits of hash and 2 of relative place, each."""
+def fingerprint(data: bytes) -> bytes:
+    """Anchors in the order of position, each as two big-endian 32-bit numbers: hash and byte position."""
     at, hashes = syncmers(data)
-    if not len(at):
-        return ""
-    short = hashes >> tx.U(32)
-    _, first = np.unique(short, return_index=True)  # by hash; of equal ones the first position
-    chosen = np.sort(first[:ANCHORS])
-    places = at[chosen] * 256 // len(data)
-    return "".join(f"{h:08x}{p:02x}" for h, p in zip(short[chosen].tolist(), places.tolist()))
-
-
-def _read(mark: str) -> list[str]:
-    return [mark[k : k + 8] for k in range(0, len(mark), 10)]
-
-
-def likeness(one: str, two: str) -> float:
-    """0 to 1; equal fingerprints give 1, an empty one is unlike every other."""
+    values, first = np.unique(hashes >> tx.U(32), return_index=True)  # by hash; of equal ones the first position
+    upto = max(ANCHORS, int(np.searchsorted(values, tx.U(LIMIT))))
+    chosen = np.sort(first[:upto])
+    mark = np.empty(len(chosen), _ANCHOR)
+    mark["hash"], mark["place"] = hashes[chosen] >> tx.U(32), at[chosen]
+    return mark.tobytes()
+
+
+def _bound(mark: np.ndarray) -> int:
+    """The hash up to which a fingerprint holds every anchor of its text."""
+    return max(int(mark["hash"].max()), LIMIT - 1) if len(mark) >= ANCHORS else 1 << 32
+
+
+def _in_order(places: list[int]) -> list[int]:
+    """Indexes of a longest increasing run of ``places``."""
+    ends: list[int] = []  # index of the least last place of a run of each length
+    tails: list[int] = []
+    before = [-1] * len(places)
+    for i, place in enumerate(places):
+        k = bisect.bisect_left(tails, place)
+        tails[k : k + 1], ends[k : k + 1] = [place], [i]
+        before[i] = ends[k - 1] if k else -1
+    chain, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        chain.append(i)
+        i = before[i]
+    return chain[::-1]
+
+
+def likeness(one: bytes, two: bytes) -> float:
+    """0 to 1; equal fingerprints give 1, an empty one is unlike every other.
+
+    Anchors are compared up to the hash below which both sides hold all of theirs.  Of the common ones the longest
+    chain in the same order counts, as a share of all anchors of both sides, times how well the distances between
+    neighbours of the chain agree (mean of the smaller over the larger).
+    """
     if one == two:
         return 1.0
     if not one or not two:
         return 0.0
-    a, b = _read(one), _read(two)
-    place = {h: i for i, h in enumerate(b)}
-    common = set(a) & place.keys()
-    union = sorted(set(a) | place.keys())[:ANCHORS]
-    if not common:
+    a, b = np.frombuffer(one, _ANCHOR), np.frombuffer(two, _ANCHOR)
+    limit = min(_bound(a), _bound(b))
+    a, b = a[a["hash"] <= limit], b[b["hash"] <= limit]
+    common, in_a, in_b = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
+    if not len(common):
         return 0.0
-    tails: list[int] = []  # longest increasing run of places: anchors that keep their order
-    for h in a:
-        if h in common:
-            k = bisect.bisect_left(tails, place[h])
-            tails[k : k + 1] = [place[h]]
-    shared = sum(h in common for h in union)
-    return shared / len(union) * len(tails) / len(common)
+    order = np.argsort(in_a)  # anchors stand in the order of their places
+    from_a, from_b = a["place"][in_a[order]].astype(np.int64), b["place"][in_b[order]].astype(np.int64)
+    chain = _in_order(from_b.tolist())
+    share = len(chain) / (len(a) + len(b) - len(common))
+    if len(chain) == 1:
+        return share
+    far_a, far_b = np.diff(from_a[chain]), np.diff(from_b[chain])
+    return share * float(np.mean(np.minimum(far_a, far_b) / np.maximum(far_a, far_b)))
 
 
 _OUT = pa.schema(
     [
         ("id", pa.int64()),
         ("n_chars", pa.int64()),
-        ("edited_sha256", pa.string()),
-        ("fingerprint", pa.string()),
-        ("edited_fingerprint", pa.string()),
+        ("edited_sha256", pa.binary()),
+        ("fingerprint", pa.binary()),
+        ("edited_fingerprint", pa.binary()),
         ("near_edited", pa.float64()),
         ("near_next", pa.float64()),
         ("part", pa.int64()),
@@ -111,7 +136,7 @@ _OUT = pa.schema(
     ]
 )
 _SCHEMA = (
-    "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double, part long, head string, tail string"
 )
 
@@ -122,10 +147,10 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _row(name: int | None, text: str, mark: str, following: str, next_mark: str) -> tuple:
+def _row(name: int | None, text: str, mark: bytes, following: str, next_mark: bytes) -> tuple:
     body = edit(text, following).encode()
     changed = fingerprint(body)
-    digest = hashlib.sha256(body).hexdigest()
+    digest = hashlib.sha256(body).digest()
     return name, len(text), digest, mark, changed, likeness(mark, changed), likeness(mark, next_mark), None, None, None
 
 
@@ -171,6 +196,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``near_next``.  The next document follows in ascending id (ties by a hash of the text, null ids first); after
     the last comes the first, so a single row follows itself.  The edited text has its last half replaced by as much
     of the next document.  A null text is empty: fingerprint ``""``, which is like (1) another empty one only.
+    Very long texts are read whole, and their fingerprints grow with them.  Repeated rows follow each other; an empty
+    table gives no rows; other columns of ``docs`` are not read.
 
     Texts are shuffled once, into sorted ranges; each range compares its own neighbours and hands on its first
     and last text.
@@ -192,4 +219,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = ends.select(F.col("part").alias("after"), "head")
     bridged = ends.select("id", "part", "tail").join(after, "part").join(heads, "after").select("id", "tail", "head")
     whole = done.filter("part IS NULL").union(bridged.mapInArrow(_bridge, _SCHEMA))
+    for c in ("edited_sha256", "fingerprint", "edited_fingerprint"):  # stored as bytes, half the size
+        whole = whole.withColumn(c, F.lower(F.hex(c)))
     return whole.drop("part", "head", "tail").withColumnRenamed("id", id_col)

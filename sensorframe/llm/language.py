@@ -27,6 +27,8 @@ GRAMS = (1, 2, 3)
 FIT_ROWS, CALIBRATION_ROWS = 1500, 500
 SHARDS, EPOCHS = 4, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+#: an n-gram is strange to a model if fewer documents than this share hold it
+RARE = 0.01
 
 _letters: list[np.ndarray] = []
 
@@ -231,10 +233,18 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, calibration_rows: int = C
     return Model(languages, idf, weights, temperature(scored, languages))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def strangeness(counts: np.ndarray, idf: np.ndarray) -> float:
+    """Share of a text's n-grams that fewer than ``RARE`` of the documents behind ``idf`` hold."""
+    return float(counts[idf > 1 - np.log(RARE)].sum() / max(int(counts.sum()), 1))
+
+
+def predict(
+    docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score", strange: float = 1.0
+) -> DataFrame:
     """Add the predicted language and its calibrated probability to every row of ``docs``.
 
-    A null text, or one without letters, is ``und`` with score 0; so is everything if the model knows no language.
+    A null text, or one without letters, is ``und`` with score 0; so is everything if the model knows no language, and a text
+    of which more than the share ``strange`` of n-grams is rare in the documents learned from (1: none).
     Columns of the given names are replaced; the text alone decides.
     """
     idf, weights, heat = model.idf, model.weights, model.temperature
@@ -246,7 +256,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "
             langs, scores = [], []
             for text in series:
                 counts = _counts(text) if text is not None and names else None
-                if counts is None:
+                if counts is None or strange < 1 and strangeness(counts, idf) > strange:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue

@@ -132,12 +132,78 @@ def test_fingerprints(docs):
             edited = fingerprint.edit(texts[k], texts[after])
             assert found["n_chars"] == len(texts[k])
             assert found["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-            assert found["fingerprint"] == fingerprint.fingerprint(texts[k].encode())
+            assert found["fingerprint"] == fingerprint.fingerprint(texts[k].encode()).hex()
             assert 0 <= found["near_next"] <= 1 and 0 <= found["near_edited"] <= 1
     long = [r for r in got if r["n_chars"] > 300 and r["doc_id"] is not None and r["doc_id"] < 59]
     assert np.mean([r["near_edited"] > r["near_next"] for r in long]) > 0.95
 
 
+def plain_syncmers(data):
+    """All closed syncmers, k-mer by k-mer: {position: hash}."""
+    k, s = fingerprint.K, fingerprint.S
+    inner = lambda i: int(fingerprint._rolling(np.frombuffer(data[i : i + s], np.uint8).astype(np.uint64), s)[0])
+    at, hashes = fingerprint.syncmers(data)
+    own = dict(zip(at.tolist(), hashes.tolist()))
+    want = []
+    for i in range(len(data) - k + 1):
+        order = [inner(j) for j in range(i, i + k - s + 1)]
+        if min(order) in (order[0], order[-1]):
+            want.append(i)
+    assert sorted(own) == want
+    return {i: h >> 32 for i, h in own.items()}
+
+
+def plain_likeness(one, two):
+    """Likeness from whole lists of syncmers, the chain by quadratic search."""
+    def anchors(data):
+        first = {}
+        for i, h in sorted(plain_syncmers(data).items()):
+            first.setdefault(h, i)
+        ranked = sorted(first)
+        kept = [h for r, h in enumerate(ranked) if r < fingerprint.ANCHORS or h < fingerprint.LIMIT]
+        bound = max(kept[-1], fingerprint.LIMIT - 1) if len(kept) >= fingerprint.ANCHORS else 1 << 32
+        return first, set(kept), bound
+
+    (a, ka, ba), (b, kb, bb) = anchors(one), anchors(two)
+    ka, kb = ({h for h in k if h <= min(ba, bb)} for k in (ka, kb))
+    places = sorted((a[h], b[h]) for h in ka & kb)
+    best = []
+    for i, (_, p) in enumerate(places):
+        best.append(1 + max((best[j] for j in range(i) if places[j][1] < p), default=0))
+    return max(best, default=0) / len(ka | kb)
+
+
+def test_likeness_by_brute_force():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    for n in (15, 60, 400):
+        one = [rng.choice(words) for _ in range(n)]
+        two = one[n // 3 :] + one[: n // 3] if n == 60 else one[: n // 2] + [rng.choice(words) for _ in range(n // 2)]
+        x, y = " ".join(one).encode(), " ".join(two).encode()
+        found = fingerprint.likeness(fingerprint.fingerprint(x), fingerprint.fingerprint(y))
+        upper = plain_likeness(x, y)  # before distances count
+        assert 0.5 * upper <= found <= upper + 1e-12 and upper > 0
+    same = " ".join(one).encode()
+    mark = fingerprint.fingerprint(same)
+    assert fingerprint.likeness(mark, mark) == 1 and fingerprint.likeness(mark, b"") == 0
+    shifted = fingerprint.likeness(mark, fingerprint.fingerprint(b"zzzz " * 3 + same))
+    assert abs(shifted - plain_likeness(same, b"zzzz " * 3 + same)) < 0.02  # a shift changes no distance
+
+
+def test_fingerprints_grow_with_the_text():
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    mark = lambda w: fingerprint.fingerprint(" ".join(w).encode())
+    base, other, passage = words(20_000), words(20_000), words(50)
+    changed = list(base)
+    for i in range(0, 20_000, 1000):
+        changed[i] = "changed" + str(i)
+    assert 0.9 < fingerprint.likeness(mark(base), mark(changed)) < 1
+    assert fingerprint.likeness(mark(base), mark(other)) < 0.001
+    shared = fingerprint.likeness(mark(base + passage), mark(other[:9000] + passage + other[9000:]))
+    assert 0 < shared < 0.01
+
+
 def test_syncmers_are_context_free():
     rng = random.Random(5)
     core = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
