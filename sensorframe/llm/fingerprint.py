@@ -28,7 +28,6 @@ LIMIT = (1 << 32) // SHARE
 RANGE_ROWS = 20_000
 
 _BASE = tx.U(0x9E3779B97F4A7C15)
-_ANCHOR = np.dtype([("hash", ">u4"), ("place", ">u4")])
 
 
 def _rolling(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,19 +62,37 @@ def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(data: bytes) -> bytes:
-    """Anchors in the order of position, each as two big-endian 32-bit numbers: hash and byte position."""
+    """Anchors in the order of position: their number and hashes (32 bits each), then the gaps between positions
+    (bytes, seven bits at a time, the lowest first)."""
     at, hashes = syncmers(data)
+    if not len(at):
+        return b""
     values, first = np.unique(hashes >> tx.U(32), return_index=True)  # by hash; of equal ones the first position
     upto = max(ANCHORS, int(np.searchsorted(values, tx.U(LIMIT))))
     chosen = np.sort(first[:upto])
-    mark = np.empty(len(chosen), _ANCHOR)
-    mark["hash"], mark["place"] = hashes[chosen] >> tx.U(32), at[chosen]
-    return mark.tobytes()
-
-
-def _bound(mark: np.ndarray) -> int:
+    gaps = np.diff(at[chosen], prepend=0)
+    width = 1 + sum((gaps >> (7 * k) > 0).astype(np.int64) for k in range(1, 5))
+    owner = np.repeat(np.arange(len(gaps)), width)
+    digit = np.arange(len(owner)) - (np.cumsum(width) - width)[owner]
+    packed = (gaps[owner] >> (7 * digit) & 127) + 128 * (digit < width[owner] - 1)
+    numbers = np.append(len(chosen), (hashes[chosen] >> tx.U(32)).astype(np.int64))
+    return numbers.astype(">u4").tobytes() + packed.astype(np.uint8).tobytes()
+
+
+def anchors(mark: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and byte positions of a fingerprint that is not empty."""
+    n = int.from_bytes(mark[:4], "big")
+    hashes = np.frombuffer(mark, ">u4", n, 4).astype(np.int64)
+    packed = np.frombuffer(mark, np.uint8, offset=4 + 4 * n).astype(np.int64)
+    ends = np.flatnonzero(packed < 128)
+    starts = np.append(0, ends[:-1] + 1)
+    digit = np.arange(len(packed)) - np.repeat(starts, ends - starts + 1)
+    return hashes, np.cumsum(np.add.reduceat((packed & 127) << (7 * digit), starts))
+
+
+def _bound(hashes: np.ndarray) -> int:
     """The hash up to which a fingerprint holds every anchor of its text."""
-    return max(int(mark["hash"].max()), LIMIT - 1) if len(mark) >= ANCHORS else 1 << 32
+    return max(int(hashes.max()), LIMIT - 1) if len(hashes) >= ANCHORS else 1 << 32
 
 
 def _in_order(places: list[int]) -> list[int]:
@@ -105,16 +122,16 @@ def likeness(one: bytes, two: bytes) -> float:
         return 1.0
     if not one or not two:
         return 0.0
-    a, b = np.frombuffer(one, _ANCHOR), np.frombuffer(two, _ANCHOR)
-    limit = min(_bound(a), _bound(b))
-    a, b = a[a["hash"] <= limit], b[b["hash"] <= limit]
-    common, in_a, in_b = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
+    (hash_a, at_a), (hash_b, at_b) = anchors(one), anchors(two)
+    limit = min(_bound(hash_a), _bound(hash_b))
+    a, b = hash_a <= limit, hash_b <= limit
+    common, in_a, in_b = np.intersect1d(hash_a[a], hash_b[b], assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
     order = np.argsort(in_a)  # anchors stand in the order of their places
-    from_a, from_b = a["place"][in_a[order]].astype(np.int64), b["place"][in_b[order]].astype(np.int64)
+    from_a, from_b = at_a[a][in_a[order]], at_b[b][in_b[order]]
     chain = _in_order(from_b.tolist())
-    share = len(chain) / (len(a) + len(b) - len(common))
+    share = len(chain) / (int(a.sum()) + int(b.sum()) - len(common))
     if len(chain) == 1:
         return share
     far_a, far_b = np.diff(from_a[chain]), np.diff(from_b[chain])

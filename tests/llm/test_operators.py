@@ -190,6 +190,17 @@ def test_likeness_by_brute_force():
     assert abs(shifted - plain_likeness(same, b"zzzz " * 3 + same)) < 0.02  # a shift changes no distance
 
 
+def test_fingerprints_keep_places():
+    text = b"a" * 200_000 + b"some words at last " + b"b" * 70_000 + bytes(range(97, 123)) * 9
+    hashes, places = fingerprint.anchors(fingerprint.fingerprint(text))
+    at, every = fingerprint.syncmers(text)
+    first = {}
+    for i, h in zip(at.tolist(), every.tolist()):
+        first.setdefault(h >> 32, i)
+    assert places.max() > 270_000 and list(places) == sorted(places)
+    assert all(first[h] == i for h, i in zip(hashes.tolist(), places.tolist()))
+
+
 def test_fingerprints_grow_with_the_text():
     rng = random.Random(3)
     words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n)]
