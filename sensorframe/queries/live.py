@@ -67,7 +67,7 @@ def _(spark, sf):
     errors = store(views.errors(spark, sf).select("sensor", "rn", "time", "error"))
     path = errors.inputFiles()[0].rsplit("/", 1)[0]
     arriving = spark.readStream.schema(errors.schema).parquet(path)
-    out = live.run_available(live.stream_anomaly_runs(arriving, 300.0, 3))
+    out = live.run_available(live.stream_anomaly_runs(live.closing(arriving), 300.0, 3))
     return out.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,13 +42,19 @@ def stream_grid_means(
 def stream_activity_sessions(
     df: DataFrame, gap: str = "4 hours", delay: str = "1 day", time: str = "time"
 ) -> DataFrame:
-    """Periods of activity per sensor that are separated by more than ``gap``."""
+    """Periods of activity per sensor that are separated by more than ``gap``.
+
+    Sessions are merged inside each task before the shuffle, so a busy sensor costs one row per task and session.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     grouped = df.withWatermark(time, delay).groupBy("sensor", F.session_window(time, gap).alias("w"))
     sessions = grouped.agg(F.count(F.lit(1)).alias("n"))
     return sessions.select("sensor", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-_SEGMENT = "sensor string, start_rn long, end_rn long, start_time timestamp, hot boolean"
+_SEGMENT = "sensor string, start_rn long, end_rn long, start_ms long, end_ms long, until timestamp, hot boolean"
+#: rows of a sensor that share one state
+CHUNK = 4096
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,51 +72,108 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sensor=("sensor", "first"),
             start_rn=("rn", "first"),
             end_rn=("rn", "last"),
-            start_time=("time", "first"),
+            start_ms=("ms", "min"),
+            end_ms=("ms", "max"),
+            until=("time", "max"),
             hot=("hot", "first"),
         )
 
 
-def _follow(min_run: int):
+_COLD, _HOT = 1, 2
+#: chunk of the rows that belong to no sensor or have no number
+_NOWHERE = -1
+
+
+def _starts(known: np.ndarray, settled: int, min_run: int, size: int) -> set[int]:
+    """Offsets of the runs that certainly begin in the chunk and reach ``min_run`` rows.
+
+    ``known`` covers the row before the chunk, the chunk and ``min_run - 1`` rows after it; rows up to offset ``settled``
+    that have not come count as cold.
+    """
+    cold = known == _COLD
+    cold[: settled + 1] |= known[: settled + 1] == 0
+    hot = np.append(0, np.cumsum(known == _HOT))
+    whole = hot[min_run + 1 :] - hot[1:-min_run] == min_run  # for offsets 1 to size
+    return set((np.flatnonzero(whole[:size] & cold[:size]) + 1).tolist())
+
+
+def _follow(min_run: int, size: int):
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, begun = state.get if state.exists else (-1, -2, pd.Timestamp(0))
-        found = []
-        for s in pd.concat(list(parts)).sort_values("start_rn").itertuples():
-            if not s.hot:
-                start, end = -1, -2
-                continue
-            if s.start_rn == end + 1 and start >= 0:
-                before, end = end - start + 1, s.end_rn
-            else:
-                before, start, end, begun = 0, s.start_rn, s.end_rn, s.start_time
-            if before < min_run <= end - start + 1:
-                found.append((key[0], start, begun, start + min_run - 1))
-        state.update((int(start), int(end), begun))
-        yield pd.DataFrame(found, columns=["sensor", "start_rn", "start_time", "alert_rn"])
+        sensor, chunk = key
+        if chunk == _NOWHERE:
+            return
+        origin = int(chunk) * size - 1
+        passed = state.getCurrentWatermarkMs()
+        if state.exists:
+            held, settled, first, ms, last, until = state.get
+            known, times, ends = np.frombuffer(held, np.uint8).copy(), dict(zip(first, ms)), dict(zip(last, until))
+        else:
+            known, settled, times, ends = np.zeros(size + min_run, np.uint8), -1, {}, {}
+            if chunk == 0:
+                known[0] = _COLD  # no row comes before the first one
+        before = _starts(known, settled, min_run, size)
+        for pdf in parts:
+            for s in pdf.itertuples():
+                if s.end_ms < passed:
+                    continue
+                at, end = int(s.start_rn) - origin, int(s.end_rn) - origin
+                known[at : end + 1] = np.maximum(known[at : end + 1], _HOT if s.hot else _COLD)
+                ends[end] = max(ends.get(end, 0), int(s.end_ms))
+                if s.hot and s.begins:
+                    times[at] = min(times.get(at, int(s.start_ms)), int(s.start_ms))
+        settled = max([int(settled), *(end for end, ms in ends.items() if ms < passed)])
+        now = _starts(known, settled, min_run, size)
+        found = [(sensor, origin + i, times[i], origin + i + min_run - 1) for i in sorted(now - before)]
+        if known.all() or settled == len(known) - 1:
+            if state.exists:
+                state.remove()
+        elif known.any():
+            times = {i: t for i, t in times.items() if known[i - 1] != _HOT and i not in now}
+            ends = {end: ms for end, ms in ends.items() if end > settled}
+            columns = (list(times), list(times.values()), list(ends), list(ends.values()))
+            state.update((bytearray(known.tobytes()), int(settled), *columns))
+            if ends:  # wake up when the watermark has passed the first stretch that may still be amended
+                state.setTimeoutTimestamp(max(min(ends.values()), passed) + 1)
+        yield pd.DataFrame(found, columns=["sensor", "start_rn", "start_ms", "alert_rn"])
 
     return follow
 
 
-def stream_anomaly_runs(df: DataFrame, threshold: float, min_run: int = 18) -> DataFrame:
-    """One alert per run of errors above ``threshold``, when it reaches ``min_run`` rows.
+def stream_anomaly_runs(
+    df: DataFrame, threshold: float, min_run: int = 18, delay: str = "1 day", size: int = CHUNK
+) -> DataFrame:
+    """One alert per run of errors above ``threshold`` that reaches ``min_run`` rows.
 
-    Rows ``(sensor, rn, time, error)`` arrive in order across batches, in any order within one.
+    Rows ``(sensor, rn, time, error)`` come in any order, within ``delay`` of event time; ``rn`` counts from 0 in the order
+    of time (rows without a sensor or number only move the watermark).  An alert is given when the row before the run is known, or cannot come any more, so late rows never
+    split or shift a run.  Missing numbers count as rows below the threshold once the watermark has passed them.
+
+    State is kept per sensor and chunk of ``size`` rows: a run belongs to the chunk it begins in, and stretches of rows
+    also go to chunks whose runs they may prolong.  So a busy sensor is spread over tasks, and the state of a chunk (one byte
+    a row) goes when all its rows are there.
     """
-    flagged = df.select(
-        "sensor", "rn", F.col("time").cast("timestamp").alias("time"),
-        F.coalesce(F.col("error") > threshold, F.lit(False)).alias("hot"),
+    time = F.col("time").cast("timestamp")
+    hot = F.coalesce(F.col("error") > threshold, F.lit(False)).alias("hot")
+    flagged = df.select("sensor", "rn", time.alias("time"), F.unix_millis(time).alias("ms"), hot)
+    stretches = flagged.mapInPandas(_segments, _SEGMENT).withWatermark("until", delay)
+    first = F.greatest(F.floor((F.col("start_rn") - (min_run - 1)) / size), F.lit(0))
+    last = F.floor((F.col("end_rn") + 1) / size)
+    # a filter would be moved below the watermark, where rows without a number still have to count
+    usable = F.col("sensor").isNotNull() & (F.col("start_rn") >= 0)
+    chunks = F.when(usable, F.sequence(first, last)).otherwise(F.array(F.lit(_NOWHERE).cast("long")))
+    spread = stretches.withColumn("chunk", F.explode(chunks))
+    low, high = F.col("chunk") * size - 1, (F.col("chunk") + 1) * size + min_run - 2
+    cut = spread.withColumn("begins", F.col("start_rn") > low).withColumns(
+        {"start_rn": F.greatest("start_rn", low), "end_rn": F.least("end_rn", high)}
     )
-    return (
-        flagged.mapInPandas(_segments, _SEGMENT)
-        .groupBy("sensor")
-        .applyInPandasWithState(
-            _follow(min_run),
-            "sensor string, start_rn long, start_time timestamp, alert_rn long",
-            "start_rn long, end_rn long, start_time timestamp",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+    alerts = cut.groupBy("sensor", "chunk").applyInPandasWithState(
+        _follow(min_run, size),
+        "sensor string, start_rn long, start_ms long, alert_rn long",
+        "known binary, settled long, first array<long>, ms array<long>, last array<long>, until array<long>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
+    return alerts.select("sensor", "start_rn", F.timestamp_millis("start_ms").alias("start_time"), "alert_rn")
 
 
 def stream_label(df: DataFrame, model: Mixture, features: str = "scores") -> DataFrame:

@@ -1,7 +1,9 @@
 """Streams fed file by file."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.operators import mixture
@@ -51,6 +53,61 @@ def test_runs_across_batches(spark, tmp_path):
     assert got == [("a", 0, 2), ("a", 5, 7), ("b", 2, 4)]
 
 
+def plain_runs(rows, min_run):
+    """(sensor, start, alert) by a plain walk over all rows of each sensor."""
+    found = []
+    for sensor in {r[0] for r in rows}:
+        hot = {r[1] for r in rows if r[0] == sensor and r[4] > 5}
+        for start in hot:
+            if start - 1 not in hot and all(start + i in hot for i in range(min_run)):
+                found.append((sensor, start, start + min_run - 1))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("size", [8, 4096])
+def test_runs_of_a_shuffled_replay(spark, tmp_path, size):
+    """Rows late across batches, missing rows and runs over many chunks give what the whole table gives."""
+    rng = random.Random(size)
+    rows = []
+    for sensor, n in (("a", 90), ("b", 40), ("c", 3)):
+        flag = False
+        for rn in range(n):
+            flag = flag if rng.random() < 0.7 else not flag
+            if rn not in (17, 33):  # rows that never come
+                rows.append(at(rn / 60, rn=rn, error=9.0 if flag or 50 < rn < 75 else 0.0, sensor=sensor))
+    mixed = rng.sample(rows, len(rows))
+    batches = [mixed[i::5] for i in range(5)] + [[at(1000, rn=0, sensor="end")]]
+    out = live.run_available(
+        live.stream_anomaly_runs(feed(spark, tmp_path, batches), 5.0, 3, size=size), str(tmp_path / "out")
+    )
+    got = sorted((r["sensor"], r["start_rn"], r["alert_rn"]) for r in out.collect())
+    assert got == plain_runs(rows, 3)
+    assert all(r["start_time"] == DAY + dt.timedelta(minutes=r["start_rn"]) for r in out.collect())
+
+
+def test_rows_behind_the_watermark_change_no_run(spark, tmp_path):
+    hot = lambda rn, hours: at(hours, rn=rn, error=9.0)
+    batches = [
+        [hot(2, 2), hot(3, 3), hot(4, 4)],  # row 1 is open, so no alert yet
+        [at(100, rn=60)],
+        [at(101, rn=61)],
+        [hot(1, 1), hot(0, 0)],  # too late: the run began at row 2
+        [at(102, rn=62)],
+    ]
+    out = live.run_available(live.stream_anomaly_runs(feed(spark, tmp_path, batches), 5.0, 3), str(tmp_path / "out"))
+    assert [(r["start_rn"], r["alert_rn"]) for r in out.collect()] == [(2, 4)]
+
+
+def test_sessions_merge_before_the_shuffle(spark, tmp_path):
+    stream = live.stream_activity_sessions(feed(spark, tmp_path, [[at(0), at(1)]]))
+    query = stream.writeStream.format("memory").queryName("sessions").outputMode("append")
+    query = query.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    exchange = plan.index("Exchange")
+    assert "MergingSessions" in plan[exchange:]  # below the exchange, that is before it
+
+
 def test_snapshots_and_labels(spark, tmp_path):
     for i in range(3):
         folder = tmp_path / "in" / f"2020010{i + 1}000000"
