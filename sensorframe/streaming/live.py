@@ -52,7 +52,7 @@ def stream_activity_sessions(
     return sessions.select("sensor", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-_SEGMENT = "sensor string, start_rn long, end_rn long, start_ms long, end_ms long, until timestamp, hot boolean"
+_SEGMENT = "sensor string, start_rn long, end_rn long, start_us long, end_ms long, hot boolean"
 #: rows of a sensor that share one state
 CHUNK = 4096
 
@@ -68,15 +68,16 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             | (pdf["rn"] != pdf["rn"].shift() + 1)
             | (pdf["hot"] != pdf["hot"].shift())
         ).cumsum()
-        yield pdf.groupby(new, sort=False).agg(
+        found = pdf.groupby(new, sort=False).agg(
             sensor=("sensor", "first"),
             start_rn=("rn", "first"),
             end_rn=("rn", "last"),
-            start_ms=("ms", "min"),
-            end_ms=("ms", "max"),
-            until=("time", "max"),
+            start_us=("us", "min"),
+            end_ms=("us", "max"),
             hot=("hot", "first"),
         )
+        found["end_ms"] //= 1000
+        yield found
 
 
 _COLD, _HOT = 1, 2
@@ -120,7 +121,7 @@ def _follow(min_run: int, size: int):
                 known[at : end + 1] = np.maximum(known[at : end + 1], _HOT if s.hot else _COLD)
                 ends[end] = max(ends.get(end, 0), int(s.end_ms))
                 if s.hot and s.begins:
-                    times[at] = min(times.get(at, int(s.start_ms)), int(s.start_ms))
+                    times[at] = min(times.get(at, int(s.start_us)), int(s.start_us))
         settled = max([int(settled), *(end for end, ms in ends.items() if ms < passed)])
         now = _starts(known, settled, min_run, size)
         found = [(sensor, origin + i, times[i], origin + i + min_run - 1) for i in sorted(now - before)]
@@ -134,7 +135,7 @@ def _follow(min_run: int, size: int):
             state.update((bytearray(known.tobytes()), int(settled), *columns))
             if ends:  # wake up when the watermark has passed the first stretch that may still be amended
                 state.setTimeoutTimestamp(max(min(ends.values()), passed) + 1)
-        yield pd.DataFrame(found, columns=["sensor", "start_rn", "start_ms", "alert_rn"])
+        yield pd.DataFrame(found, columns=["sensor", "start_rn", "start_us", "alert_rn"])
 
     return follow
 
@@ -154,8 +155,10 @@ def stream_anomaly_runs(
     """
     time = F.col("time").cast("timestamp")
     hot = F.coalesce(F.col("error") > threshold, F.lit(False)).alias("hot")
-    flagged = df.select("sensor", "rn", time.alias("time"), F.unix_millis(time).alias("ms"), hot)
-    stretches = flagged.mapInPandas(_segments, _SEGMENT).withWatermark("until", delay)
+    flagged = df.select("sensor", "rn", F.unix_micros(time).alias("us"), hot)
+    stretches = flagged.mapInPandas(_segments, _SEGMENT)
+    until = F.least(F.timestamp_millis("end_ms"), F.lit("2262-01-01").cast("timestamp"))  # pandas holds no later time
+    stretches = stretches.withColumn("until", until).withWatermark("until", delay)
     first = F.greatest(F.floor((F.col("start_rn") - (min_run - 1)) / size), F.lit(0))
     last = F.floor((F.col("end_rn") + 1) / size)
     # a filter would be moved below the watermark, where rows without a number still have to count
@@ -168,12 +171,12 @@ def stream_anomaly_runs(
     )
     alerts = cut.groupBy("sensor", "chunk").applyInPandasWithState(
         _follow(min_run, size),
-        "sensor string, start_rn long, start_ms long, alert_rn long",
+        "sensor string, start_rn long, start_us long, alert_rn long",
         "known binary, settled long, first array<long>, ms array<long>, last array<long>, until array<long>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
-    return alerts.select("sensor", "start_rn", F.timestamp_millis("start_ms").alias("start_time"), "alert_rn")
+    return alerts.select("sensor", "start_rn", F.timestamp_micros("start_us").alias("start_time"), "alert_rn")
 
 
 def stream_label(df: DataFrame, model: Mixture, features: str = "scores") -> DataFrame:
