@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.operators import anomaly, cluster, density, distribution, mixture, subspace
+from sensorframe.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,36 @@ def test_digamma():
     np.testing.assert_allclose(mixture.digamma([1.0, 0.5, 10.0]), [-0.5772156649, -1.9635100260, 2.2517525890], atol=1e-9)
 
 
+LATE = 100_000  # a profile a day from 2020 on: days after 2262, which pandas does not hold
+
+
+@pytest.fixture(scope="module")
+def late(spark, tmp_path_factory):
+    """The smallest tables with profiles of later days, as a longer table has them."""
+    folder = str(tmp_path_factory.mktemp("late"))
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows.withColumn("vec_id", F.col("vec_id") + LATE).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_clusters_of_late_days(spark, late):
+    want = QUERIES["dpgmm_clusters"](spark, "/root/testdata/sf0.001").selectExpr(
+        f"vec_id + {LATE}", f"CAST(ts + INTERVAL {LATE} DAYS AS STRING)", "cluster", "probability"
+    )
+    got = QUERIES["dpgmm_clusters"](spark, late).withColumn("ts", F.col("ts").cast("string"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_labels_keep_other_columns(spark, blobs):
+    model = mixture.dpgmm_fit(blobs, max_components=4, max_iter=3)
+    odd = blobs.withColumn("cluster", F.lit("old")).withColumn("seen", F.expr("TIMESTAMP '9999-12-31 23:59:59.999999'"))
+    got = mixture.dpgmm_label(odd.withColumn("lost", F.lit(None).cast("int")), model)
+    assert got.columns == ["pos", "truth", "scores", "seen", "lost", "cluster", "probability"]
+    assert got.dtypes[-2:] == [("cluster", "int"), ("probability", "double")]
+    assert got.filter("seen = TIMESTAMP '9999-12-31 23:59:59.999999' AND lost IS NULL").count() == 180
+    assert mixture.dpgmm_label(odd.limit(0), model).collect() == []
+
+
 def test_window_that_ends_on_the_last_row(spark, blobs):
     dated = blobs.withColumn("ts", F.timestamp_seconds(F.col("pos") * 86400))
     labels, snaps = mixture.dpgmm_windows(
