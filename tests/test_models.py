@@ -71,6 +71,14 @@ def test_clusters_of_late_days(spark, late):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_windows_of_late_days(spark, late):
+    want = QUERIES["dpgmm_windows"](spark, "/root/testdata/sf0.001").selectExpr(
+        "pos", f"CAST(ts + INTERVAL {LATE} DAYS AS STRING)", "cluster", "probability"
+    )
+    got = QUERIES["dpgmm_windows"](spark, late).withColumn("ts", F.col("ts").cast("string"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_labels_keep_other_columns(spark, blobs):
     model = mixture.dpgmm_fit(blobs, max_components=4, max_iter=3)
     odd = blobs.withColumn("cluster", F.lit("old")).withColumn("seen", F.expr("TIMESTAMP '9999-12-31 23:59:59.999999'"))
