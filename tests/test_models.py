@@ -79,6 +79,13 @@ def test_windows_of_late_days(spark, late):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_snapshots_of_late_days(spark, late):
+    want = QUERIES["dpgmm_snapshots"](spark, "/root/testdata/sf0.001").selectExpr(
+        f"CAST(date_add(CAST(snapshot_date AS DATE), {LATE}) AS STRING)", "cluster", "count"
+    )
+    assert sorted(QUERIES["dpgmm_snapshots"](spark, late).collect()) == sorted(want.collect())
+
+
 def test_labels_keep_other_columns(spark, blobs):
     model = mixture.dpgmm_fit(blobs, max_components=4, max_iter=3)
     odd = blobs.withColumn("cluster", F.lit("old")).withColumn("seen", F.expr("TIMESTAMP '9999-12-31 23:59:59.999999'"))
