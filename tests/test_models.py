@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,14 @@ def test_labels_keep_other_columns(spark, blobs):
     assert mixture.dpgmm_label(odd.limit(0), model).collect() == []
 
 
+def test_vectors_of_a_batch():
+    lists = pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, None]])
+    np.testing.assert_array_equal(mixture._matrix(lists.slice(1), 2), [[1, 2], [3, np.nan]])
+    for odd in ([[1.0], [2.0, 3.0, 4.0]], [[1.0, 2.0], None]):
+        with pytest.raises(ValueError):
+            mixture._matrix(pa.array(odd), 2)
+
+
 def test_window_that_ends_on_the_last_row(spark, blobs):
     dated = blobs.withColumn("ts", F.timestamp_seconds(F.col("pos") * 86400))
     labels, snaps = mixture.dpgmm_windows(
